@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..workers import reach
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,6 +64,7 @@ def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator
         for columns in rows(batches):
             yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for x, f in ((columns[f.name], f) for f in arrow)], schema=arrow)
 
+    reach(df.sparkSession)
     return df.mapInArrow(run, kind)
 
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import reach
 from .common import arrow_map, documents_in, lists, pick
 from .fmindex import FIRST, OTHER, SEPARATOR, FMIndex
 from .text import Words, buffers, char_offsets, slices
@@ -221,6 +222,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: int
     what the earlier ones left.
     """
     context = docs.sparkSession.sparkContext
+    reach(docs.sparkSession)
     out = docs
     text = docs.columns.index(text_col)
     size = docs.columns.index(size_col) if size_col in docs.columns else None

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import reach
 from .common import arrow_map, cut, documents_in, pick
 from .text import U64, fold, reduce_by, slices, span_hashes, spans_of
 
@@ -216,6 +217,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     rules = fit(cut(features(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col)), labels, **fitting)
     shared = docs.sparkSession.sparkContext.broadcast(rules)
     text = docs.columns.index(text_col)
+    reach(docs.sparkSession)
 
     def run(batches):
         r = shared.value
