@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..spec import ModelSpec
 from .encode import share
@@ -50,6 +52,7 @@ def regions(a: list[tuple], b: list[tuple], limit: int) -> tuple[list[tuple[list
 def diff(text: Column, a: Column, b: Column, model_a: ModelSpec, model_b: ModelSpec, limit: int = 100) -> Column:
     """A summary and the differing regions of two id arrays of one text; null where one of the three is."""
     left, right = share(model_a), share(model_b)
+    kind = to_arrow_type(T._parse_datatype_string(DIFF))
 
     @F.arrow_udf(DIFF)
     def run(texts: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
@@ -68,10 +71,7 @@ def diff(text: Column, a: Column, b: Column, model_a: ModelSpec, model_b: ModelS
                 told = lambda own: [dict(zip(("id", "start", "end", "text"), s)) for s in own]
                 rows.append({"start": start, "end": end, "text": raw[start:end].decode(errors="replace"), "a": told(p), "b": told(q)})
             out.append({"text_bytes": len(raw), "tokens_a": len(x), "tokens_b": len(y), "diff_count": len(rows), "diff_bytes": size, "match_rate": 1 - size / len(raw) if raw else 1.0, "truncated": more, "regions": rows})
-        from pyspark.sql import types as T
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        return pa.array(out, to_arrow_type(T._parse_datatype_string(DIFF)))
+        return pa.array(out, kind)
 
     return run(text, a, b)
 
