@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,32 +26,39 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.when(at >= 0, at.cast("int"))
 
 
-def spans(ids: list[int], tokens: dict[int, bytes]) -> list[tuple[int, int, int, str]]:
-    out, at = [], 0
-    for i in ids:
-        text = tokens[i].decode(errors="replace") if i in tokens else f"<unk:{i}>"
-        size = len(tokens[i]) if i in tokens else len(text)
-        out.append((i, at, at + size, text))
-        at += size
-    return out
+class Spans:
+    """The ids of one tokenization with their byte ranges; an id that isn't known is as long as what is shown for it."""
 
+    def __init__(self, ids: list[int], tokens: dict[int, bytes]):
+        self.ids, self.tokens = np.array(ids, np.int64), tokens
+        one, back = np.unique(self.ids, return_inverse=True)
+        size = np.array([len(tokens[i]) if i in tokens else len(f"<unk:{i}>") for i in one.tolist()], np.int64)
+        self.end = np.cumsum(size[back]) if len(ids) else np.zeros(0, np.int64)
+        self.start = self.end - size[back] if len(ids) else self.end
 
-def regions(a: list[tuple], b: list[tuple], limit: int) -> tuple[list[tuple[list, list]], bool]:
-    """What lies between tokens that both have in the same place; at most ``limit`` regions, and whether there were more."""
-    shared = {s[:3] for s in a} & {s[:3] for s in b}
-    cut = lambda own: [k for k, s in enumerate(own) if s[:3] in shared]
-    out, x, y = [], 0, 0
-    for p, q in [*zip(cut(a), cut(b)), (len(a), len(b))]:
-        if p > x or q > y:
-            out.append((a[x:p], b[y:q]))
-            if len(out) > limit:
-                return out[:limit], True
-        x, y = p + 1, q + 1
-    return out, False
+    def told(self, a: int, b: int) -> list[dict]:
+        text = lambda i: self.tokens[i].decode(errors="replace") if i in self.tokens else f"<unk:{i}>"
+        return [{"id": i, "start": x, "end": y, "text": text(i)} for i, x, y in zip(*(v[a:b].tolist() for v in (self.ids, self.start, self.end)))]
+
+
+def regions(a: Spans, b: Spans) -> list[tuple[int, int, int, int]]:
+    """What lies between tokens that both have in the same place, as ranges of tokens of either."""
+    kept = [np.flatnonzero(s.end > s.start) for s in (a, b)]
+    _, x, y = np.intersect1d(a.start[kept[0]], b.start[kept[1]], assume_unique=True, return_indices=True)
+    x, y = kept[0][x], kept[1][y]
+    same = (a.ids[x] == b.ids[y]) & (a.end[x] == b.end[y])
+    x, y = x[same], y[same]
+    p, q = np.append(-1, x) + 1, np.append(-1, y) + 1
+    p_end, q_end = np.append(x, len(a.ids)), np.append(y, len(b.ids))
+    some = np.flatnonzero((p_end > p) | (q_end > q))
+    return list(zip(*(v[some].tolist() for v in (p, p_end, q, q_end))))
 
 
 def diff(text: Column, a: Column, b: Column, model_a: ModelSpec, model_b: ModelSpec, limit: int = 100) -> Column:
-    """A summary and the differing regions of two id arrays of one text; null where one of the three is."""
+    """A summary of two id arrays of one text and their first ``limit`` differing regions; null where one of the three is.
+
+    The counts are of all regions; ``truncated`` tells that not all are listed.
+    """
     left, right = share(model_a), share(model_b)
     kind = to_arrow_type(T._parse_datatype_string(DIFF))
 
@@ -62,15 +70,16 @@ def diff(text: Column, a: Column, b: Column, model_a: ModelSpec, model_b: ModelS
             if t is None or x is None or y is None:
                 out.append(None)
                 continue
-            raw = t.encode()
-            found, more = regions(spans(x, ta), spans(y, tb), limit)
+            raw, own, other = t.encode(), Spans(x, ta), Spans(y, tb)
+            found = regions(own, other)
             rows, size = [], 0
-            for p, q in found:
-                start, end = min(s[1] for s in (*p, *q)), max(s[2] for s in (*p, *q))
+            for k, (p, p_end, q, q_end) in enumerate(found):
+                start = min([*own.start[p : min(p + 1, p_end)].tolist(), *other.start[q : min(q + 1, q_end)].tolist()])
+                end = max([*own.end[max(p, p_end - 1) : p_end].tolist(), *other.end[max(q, q_end - 1) : q_end].tolist()])
                 size += end - start
-                told = lambda own: [dict(zip(("id", "start", "end", "text"), s)) for s in own]
-                rows.append({"start": start, "end": end, "text": raw[start:end].decode(errors="replace"), "a": told(p), "b": told(q)})
-            out.append({"text_bytes": len(raw), "tokens_a": len(x), "tokens_b": len(y), "diff_count": len(rows), "diff_bytes": size, "match_rate": 1 - size / len(raw) if raw else 1.0, "truncated": more, "regions": rows})
+                if k < limit:
+                    rows.append({"start": start, "end": end, "text": raw[start:end].decode(errors="replace"), "a": own.told(p, p_end), "b": other.told(q, q_end)})
+            out.append({"text_bytes": len(raw), "tokens_a": len(x), "tokens_b": len(y), "diff_count": len(found), "diff_bytes": size, "match_rate": 1 - size / len(raw) if raw else 1.0, "truncated": len(found) > limit, "regions": rows})
         return pa.array(out, kind)
 
     return run(text, a, b)

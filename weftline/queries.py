@@ -17,7 +17,7 @@ from .spec import ModelSpec, Padding, Template, Truncation
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-BYTES = toy_models.bpe_bytes(template=Template.bert(1, 2))
+BYTES = toy_models.bpe_bytes(template=Template.bert(1, 2), pretokenizer="gpt2")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -196,10 +196,8 @@ def d3(spark: SparkSession, d: str) -> DataFrame:
     """How many pieces and bytes the offsets of a byte model cover."""
     spec = ModelSpec(encoder="bpe", vocab=BYTES.vocab, pretokenizer="bert")
     own = table(spark, d, "documents").select("doc_id", Tokenizer(spec).encode_with_offsets(F.col("text"), False)["offsets"].alias("o"))
-    starts = F.size(F.filter("o", lambda x, i: (i == 0) | (F.get("o", i - 1)["end"] != x["start"])))
-    runs = own.select("doc_id", F.size("o").cast("bigint").alias("covered"), starts.alias("runs"))
     pieces = table(spark, d, "documents").select("doc_id", F.size(pretokenize.pieces(F.col("text"), "bert")).cast("bigint").alias("n_pieces"))
-    return runs.join(pieces, "doc_id").where("runs > 0").select("doc_id", "n_pieces", "covered")
+    return own.select("doc_id", F.size("o").cast("bigint").alias("covered")).join(pieces, "doc_id").where("covered > 0").select("doc_id", "n_pieces", "covered")
 
 
 @query("d4_encode_pair", """with t as (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as answer, lead(role) over (partition by conv_id order by turn) as who from conversations)
@@ -217,8 +215,8 @@ def d4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d5_added_tokens", r"select doc_id, len(regexp_extract_all(text, 'License')) as n_added, strlen(regexp_replace(text, 'License', '', 'g')) as n_bytes from documents")
 def d5(spark: SparkSession, d: str) -> DataFrame:
-    spec = toy_models.with_end_of_text(toy_models.bpe_bytes(), "License")
-    ids = table(spark, d, "documents").select("doc_id", Tokenizer(spec).encode_ids(F.col("text")).alias("ids"))
+    spec = toy_models.with_end_of_text(BYTES, "License")
+    ids = table(spark, d, "documents").select("doc_id", Tokenizer(spec).encode_ids(F.col("text"), False).alias("ids"))
     own = F.size(F.filter("ids", lambda x: x == 256))
     return ids.select("doc_id", own.cast("bigint").alias("n_added"), (F.size("ids") - own).cast("bigint").alias("n_bytes"))
 
@@ -323,9 +321,9 @@ def v18(spark: SparkSession, d: str) -> DataFrame:
 
 @query("v16_diff", "select doc_id, cast((length(text) - length(replace(text, 'th', ''))) as integer) as diff_bytes from documents")
 def v16(spark: SparkSession, d: str) -> DataFrame:
-    other = toy_models.bpe_bytes((b"t", b"h"))
+    other = toy_models.bpe_bytes((b"t", b"h"), pretokenizer="gpt2")
     text = F.col("text")
-    own = diff.diff(text, Tokenizer(BYTES).raw_ids(text), Tokenizer(other).raw_ids(text), BYTES, other, 1 << 30)
+    own = diff.diff(text, Tokenizer(BYTES).raw_ids(text), Tokenizer(other).raw_ids(text), BYTES, other)
     return table(spark, d, "documents").select("doc_id", own["diff_bytes"].alias("diff_bytes"))
 
 
