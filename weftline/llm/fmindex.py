@@ -20,7 +20,7 @@ def suffix_array(s: np.ndarray, bits: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(width):
         key <<= bits
-        key[: n - j] |= s[j:]
+        key[: max(n - j, 0)] |= s[j:]
     sa = np.argsort(key)
     sorted_key = key[sa]
     new = np.ones(n, bool)
