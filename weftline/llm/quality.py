@@ -33,6 +33,8 @@ from .common import arrow_map, cut, documents_in, pick
 from .text import U64, fold, reduce_by, slices, span_hashes, spans_of
 
 FEATURES = ("word_length", "symbol_share", "upper_share", "digit_share", "distinct_share", "stutter_share", "top_share", "repeated_lines", "ended_lines", "mark_share")
+#: How far beyond a node's range, in widths of it, splits are drawn.
+MARGIN = 0.5
 _KINDS = np.zeros((5, 256), bool)
 for _k, _s in enumerate((b"#$%&*|@^~<>{}[]\\+=_`", bytes(range(65, 91)), bytes(range(48, 58)), bytes(range(97, 123)) + bytes(range(65, 91)), b"!?.")):
     _KINDS[_k, list(_s)] = True
@@ -109,7 +111,8 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def grow(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7) -> Forest:
+def grow(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7, beyond: float = MARGIN) -> Forest:
+    """Splits are drawn from a node's range and ``beyond`` of its width on either side, so that what lies outside of all rows grown on is cut off too."""
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
     depth = max(1, math.ceil(math.log2(max(sample, 2)))) + 2
@@ -124,7 +127,8 @@ def grow(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7) -> F
             if d == depth or not len(wide):
                 continue
             f = int(rng.choice(wide))
-            at = rng.uniform(own[:, f].min(), own[:, f].max())
+            low, high = own[:, f].min(), own[:, f].max()
+            at = rng.uniform(low - beyond * (high - low), high + beyond * (high - low))
             side = own[:, f] >= at
             feature[node], split[node], left[node] = f, at, len(feature)
             for part in (own[~side], own[side]):
