@@ -6,7 +6,8 @@ Seeds are the candidates that prove themselves (address grammar, octets of an
 IP address, Luhn or mod-97 check digits, a country code) and, if given, a table of
 known values.  Around each candidate lie lexical patterns: the two words before
 it, the word before, the word after, the words on both sides (each with the
-candidate's class), and its own skeleton (``9{4}-A{2}``).
+candidate's class), and its own skeleton (``9{4}-A{2}``;
+not of one that breaks the check digits or bounds of its shape).
 
 Patterns and values form a graph.  In each round a pattern's confidence is the
 lower bound (Wilson) of the share of its distinct values that are trusted, and
@@ -88,6 +89,13 @@ def proves(kind: str, raw: str) -> bool:
     return False
 
 
+def fails(kind: str, raw: str) -> bool:
+    """Whether a candidate is shaped like what has check digits or bounds, and breaks them: its shape then speaks for nothing."""
+    if kind == "number":
+        return 13 <= sum("0" <= c <= "9" for c in raw) <= 19 and not proves(kind, raw)
+    return kind in ("ip", "code") and not proves(kind, raw)
+
+
 def skeleton(raw: str) -> str:
     """The runs of a value's digits and letters by class and length; of an address only that it is one."""
     return _RUN.sub(lambda m: ("9" if m[0][0].isdigit() else "A" if m[0][0].isupper() else "a") + (f"{{{len(m[0])}}}" if len(m[0]) > 1 else ""), raw)
@@ -116,7 +124,7 @@ def candidates_in(text: str, stretches: list[tuple[int, int]]):
             after = _WORD.search(text, m.end(), m.end() + 80)
             after = after[0].lower() if after else ""
             last = before[-1] if before else ""
-            patterns = [_hash("S", kind, skeleton(raw)) if kind != "email" else _hash("S", kind)]
+            patterns = [] if fails(kind, raw) else [_hash("S", kind, skeleton(raw)) if kind != "email" else _hash("S", kind)]
             if len(before) == 2:
                 patterns.append(_hash("LL", kind, *before))
             if last:
