@@ -26,11 +26,37 @@ def _byte_ids(spec: ModelSpec) -> dict[int, int]:
     return out
 
 
+#: Pieces of at most so many symbols are merged by a scan for the least rank in each round, longer ones with a heap.
+SHORT = 48
+_NONE = (1 << 60, 0)
+
+
+def _merge_short(symbols: list[tuple[int, int]], rules: dict[tuple[int, int], tuple[int, int]]) -> Ids:
+    ids, size = map(list, zip(*symbols))
+    get = rules.get
+    found = [get(p, _NONE) for p in zip(ids, ids[1:])]
+    while found:
+        best = min(found)
+        if best is _NONE:
+            break
+        k = found.index(best)
+        ids[k] = best[1]
+        size[k] += size[k + 1]
+        del ids[k + 1], size[k + 1], found[k]
+        if k:
+            found[k - 1] = get((ids[k - 1], ids[k]), _NONE)
+        if k < len(found):
+            found[k] = get((ids[k], ids[k + 1]), _NONE)
+    return list(zip(ids, size))
+
+
 def _merge(symbols: list[tuple[int, int]], rules: dict[tuple[int, int], tuple[int, int]]) -> Ids:
     """Joins neighbours by the rule of the least rank, the leftmost on ties, until none applies."""
     n = len(symbols)
-    if n < 2:
+    if n < 2 or not rules:
         return symbols
+    if n <= SHORT:
+        return _merge_short(symbols, rules)
     ids, size = [s[0] for s in symbols], [s[1] for s in symbols]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(rule[0], k, ids[k], ids[k + 1]) for k in range(n - 1) if (rule := rules.get((ids[k], ids[k + 1])))]
@@ -77,13 +103,11 @@ def bpe(spec: ModelSpec) -> Callable[[bytes], Ids | None]:
     def run(piece: bytes) -> Ids | None:
         if spec.ignore_merges and piece + end in whole:
             return [(whole[piece + end], len(piece))]
-        symbols = []
-        for k, byte in enumerate(piece):
-            own = last if end and k == len(piece) - 1 else single
-            i = own.get(byte, spec.unk_id)
-            if i is None:
-                return None
-            symbols.append((i, 1))
+        symbols = [(single.get(b, spec.unk_id), 1) for b in piece]
+        if end and piece:
+            symbols[-1] = (last.get(piece[-1], spec.unk_id), 1)
+        if spec.unk_id is None and any(i is None for i, _ in symbols):
+            return None
         out = _merge(symbols, rules)
         return _fused(out, spec.unk_id) if spec.fuse_unk else out
 
