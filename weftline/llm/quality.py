@@ -1,8 +1,8 @@
 """Quality rules: an isolation forest on rule statistics.
 
 Each document has ``FEATURES``, computed over its whole text.  The forest is
-grown on a bounded sample of rows labelled good (``fit_rows``, those of the least
-hash of doc_id; of the bad ones where no row is good); random splits isolate anomalous documents on short paths.  The
+grown on a bounded sample of rows labelled good (about ``fit_rows``, those whose hash of
+doc_id is below the share that gives so many; of the bad ones where no row is good); random splits isolate anomalous documents on short paths.  The
 threshold on the anomaly score is calibrated on all labelled rows: among
 thresholds that reject at most ``clean_loss`` of the good rows, the one with the
 highest balanced accuracy.
@@ -10,7 +10,7 @@ highest balanced accuracy.
 Cost: one pass over the texts gives a narrow table of statistics, written to
 the shared folder; fitting and calibration read that table joined with the
 labels; there is no shuffle of texts.  What is broadcast (the forest) has a fixed
-size, and the driver gathers ``fit_rows`` rows and one histogram.
+size, and the driver gathers about ``fit_rows`` rows and one histogram.
 
 Null and empty texts, and texts without words, have no statistics and are
 rejected.  Repeated rows get the same decision.  Labels of null, or for unknown
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,12 +172,16 @@ def fit(x: DataFrame, labels: DataFrame, fit_rows: int = 20_000, clean_loss: flo
     """The forest and threshold from statistics ``x`` (doc_id, x) and labels (1 good, 0 bad)."""
     known = pick(labels, doc_id=(label_id, "bigint"), good=(label_col, "int")).where("doc_id is not null and good in (0, 1)").groupBy("doc_id").agg(F.min("good").alias("good"))
     rows = x.join(known, "doc_id")
-    some = rows.select("x", "good", F.xxhash64("doc_id").alias("o"), "doc_id").orderBy(F.col("good").desc(), "o", "doc_id").limit(fit_rows).toArrow()
-    if not some.num_rows:
+    labelled = dict(zip(*(c.to_pylist() for c in known.groupBy("good").count().toArrow().columns)))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    own = np.zeros((0, len(FEATURES)))
+    for good in (1, 0):
+        if good in labelled and not len(own):
+            some = rows.where((F.col("good") == good) & (place < F.lit(fit_rows / labelled[good]))).select("doc_id", "x").toArrow().combine_chunks()
+            own = _matrix(some.take(pc.sort_indices(some, [("doc_id", "ascending")])).column("x").combine_chunks())
+    if not len(own):
         return Rules(None, 2.0)
-    own = _matrix(some.column("x").combine_chunks())
-    good = some.column("good").to_numpy() == 1
-    forest = grow(own[good] if good.any() else own, trees, sample)
+    forest = grow(own, trees, sample)
 
     def histogram(batches):
         count = np.zeros((2, bins), np.int64)
