@@ -4,8 +4,8 @@ Characters are lower-cased; the n-grams of 1 to ``order`` characters are hashed
 into ``buckets`` for each order.  The model is fitted on a bounded sample of
 labelled rows, about ``fit_rows`` of each language, those whose hash of doc_id is
 below the share that gives so many; their n-grams are counted by Spark.  The
-log-probability matrix (languages x orders x buckets, whatever the corpus) is
-broadcast, and whole texts are scored in batches by gathering and summing.
+log-probability matrix (languages x orders x buckets, at most ``ENTRIES``, whatever
+the corpus) is broadcast, and whole texts are scored in batches by gathering and summing.
 
 Cost: one pass to fit (texts outside the sample are dropped before Python), one
 to score; no shuffle of texts.
@@ -66,6 +66,12 @@ def hashed(cp: np.ndarray, bounds: np.ndarray, n: int, bits: int) -> tuple[np.nd
     return h[ok].astype(np.int64), out
 
 
+#: The log-probability matrix has at most so many entries: with many languages, each order gets fewer buckets.
+ENTRIES = 1 << 23
+#: Labels up to so many are broadcast to draw the sample.
+BROADCAST_ROWS = 10_000
+
+
 class Model:
     def __init__(self, langs: list[str], counts: np.ndarray, order: int, bits: int, alpha: float = 0.5):
         self.langs, self.order, self.bits = langs, order, bits
@@ -87,10 +93,14 @@ class Model:
 
 
 def fit(docs: DataFrame, fit_rows: int, order: int, bits: int, id_col: str, text_col: str, label_col: str) -> Model | None:
-    known = pick(docs, doc_id=(id_col, "bigint"), text=(text_col, "string"), lang=(label_col, "string")).where("lang is not null and text is not null")
-    share = known.groupBy("lang").agg((F.lit(float(fit_rows)) / F.count("*")).alias("share"))
+    known = pick(docs, doc_id=(id_col, "bigint"), text=(text_col, "string"), lang=(label_col, "string")).where("lang is not null")
+    counts = known.groupBy("lang").count().toArrow()  # reads the labels alone
+    if not counts.num_rows:
+        return None
+    bits = min(bits, max(4, int(ENTRIES / (counts.num_rows * order)).bit_length() - 1))
+    share = docs.sparkSession.createDataFrame([(lang, fit_rows / n) for lang, n in zip(*(c.to_pylist() for c in counts.columns))], "lang string, share double")
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("fit")), 11) / F.lit(float(1 << 53))
-    sample = known.join(share, "lang").where(place < F.col("share")).select("lang", "text")
+    sample = known.where("text is not null").join(F.broadcast(share) if counts.num_rows <= BROADCAST_ROWS else share, "lang").where(place < F.col("share")).select("lang", "text")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -107,7 +117,7 @@ def fit(docs: DataFrame, fit_rows: int, order: int, bits: int, id_col: str, text
             yield {"lang": pa.array([lang] * len(n), pa.string()), "n": n, "bucket": bucket, "c": mine[n, bucket]}
 
     got = arrow_map(sample, count, "lang string, n int, bucket int, c long").groupBy("lang", "n", "bucket").agg(F.sum("c").alias("c")).toArrow()
-    langs = sorted(x for x in got.column("lang").unique().to_pylist())
+    langs = sorted(got.column("lang").unique().to_pylist())
     if not langs:
         return None
     counts = np.zeros((len(langs), order, 1 << bits))
