@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,8 +31,8 @@ def first_difference(a: Column, b: Column) -> Column:
 class Spans:
     """The ids of one tokenization with their byte ranges; an id that isn't known is as long as what is shown for it."""
 
-    def __init__(self, ids: list[int], tokens: dict[int, bytes]):
-        self.ids, self.tokens = np.array(ids, np.int64), tokens
+    def __init__(self, ids: np.ndarray, tokens: dict[int, bytes]):
+        self.ids, self.tokens = ids, tokens
         one, back = np.unique(self.ids, return_inverse=True)
         size = np.array([len(tokens[i]) if i in tokens else len(f"<unk:{i}>") for i in one.tolist()], np.int64)
         self.end = np.cumsum(size[back]) if len(ids) else np.zeros(0, np.int64)
@@ -41,6 +43,14 @@ class Spans:
         return [{"id": i, "start": x, "end": y, "text": text(i)} for i, x, y in zip(*(v[a:b].tolist() for v in (self.ids, self.start, self.end)))]
 
 
+def _rows(column: pa.Array) -> Iterator[np.ndarray | None]:
+    """The rows of a list column, as views of its values."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for k, there in enumerate(column.is_valid().to_pylist()):
+        yield values[at[k] : at[k + 1]].astype(np.int64) if there else None
+
+
 def regions(a: Spans, b: Spans) -> list[tuple[int, int, int, int]]:
     """What lies between tokens that both have in the same place, as ranges of tokens of either."""
     kept = [np.flatnonzero(s.end > s.start) for s in (a, b)]
@@ -66,7 +76,7 @@ def diff(text: Column, a: Column, b: Column, model_a: ModelSpec, model_b: ModelS
     def run(texts: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
         ta, tb = left.value.tokens, right.value.tokens
         out = []
-        for t, x, y in zip(texts.to_pylist(), xs.to_pylist(), ys.to_pylist()):
+        for t, x, y in zip(texts.to_pylist(), _rows(xs), _rows(ys)):
             if t is None or x is None or y is None:
                 out.append(None)
                 continue
