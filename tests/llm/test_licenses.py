@@ -69,3 +69,12 @@ def test_candidates_are_those_of_brute_force(spark):
     want = {i for i, text in rows if any(len(q) >= 0.4 * (len(t) - 2) for q in brute_votes(text, licenses.TEMPLATES[name]).values())}
     assert want <= got
     assert all(sum(map(len, brute_votes(dict(rows)[i], licenses.TEMPLATES[name]).values())) >= 0.4 * (len(t) - 2) for i in got)
+
+
+def test_many_templates_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, f"{made_text(rng, 20)} {t} {made_text(rng, 9)}") for k, t in enumerate(licenses.TEMPLATES.values())] + [(90, "licensed under the terms of the license, version 2.0 of this")]
+    told = lambda: sorted(map(tuple, licenses.scan_licenses(documents(spark, rows)).collect()))
+    few = told()
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 3)
+    assert told() == few and len(few) >= len(licenses.TEMPLATES)

@@ -8,8 +8,9 @@ and where enough of the template has voted, the span is verified word by word
 on the document's text.
 
 Cost: the join's template side is broadcast while it has at most
-``BROADCAST_ROWS`` rows, else Spark chooses; only matches are shuffled, and only
-documents with a candidate get their text back, for which it moves at most once.
+``BROADCAST_ROWS`` rows, else Spark chooses; only matches are shuffled.  For
+verification the texts are read again, and those that have enough of a template's
+hashes in any order move once; all texts do beyond ``BROADCAST_ROWS``.
 
 Null and empty texts, and texts of fewer than k words, have no match.  Rows
 without doc_id are left out.  Repeated rows are told once.  Spans are in
@@ -76,6 +77,35 @@ def template_positions(templates: Mapping[str, str], k: int) -> list[tuple[str,
     return out
 
 
+def _promising(places: list[tuple[str, int, int, int]], share: float, k: int):
+    """Rows whose text has at least ``share`` of some template's hashes, in whatever order: all candidates are among them."""
+    names = sorted({p[0] for p in places})
+    one = np.array([[names.index(p[0]), p[2]] for p in places], np.int64).reshape(-1, 2)
+    least = np.zeros(len(names))
+    for name, _, _, n in places:
+        least[names.index(name)] = max(1.0, n * share)
+    known = np.unique(one[:, 1])
+
+    def run(batches):
+        for batch in batches:
+            for a, _, buf, off in slices(batch.column(1)):
+                w = Words(buf, off)
+                g, _, bounds = grams(w.hash, w.at, k, whole_if_short=False)
+                h = g.view(np.int64)
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                hit = np.flatnonzero(known[at] == h) if len(known) else np.zeros(0, np.int64)
+                rows = np.searchsorted(bounds, hit, "right") - 1
+                kept = []
+                for r in np.unique(rows):
+                    there = np.isin(one[:, 1], h[hit[rows == r]])
+                    if (np.bincount(one[there, 0], minlength=len(names)) >= least).any():
+                        kept.append(a + int(r))
+                if kept:
+                    yield {"doc_id": batch.column(0).take(pa.array(kept)), "text": batch.column(1).take(pa.array(kept))}
+
+    return run
+
+
 def _verify(templates: Mapping[str, str], least: float):
     words = {}
     for name, text in templates.items():
@@ -134,4 +164,5 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, k:
         F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("voted"), (F.min("first") - apart).cast("int").alias("first"), (F.max("last") + k + apart).cast("int").alias("last"),
     )
     spans = merged.where(F.col("voted") >= F.greatest(F.lit(1), F.col("n") * share)).groupBy("doc_id").agg(F.collect_list(F.struct("template", "first", "last")).alias("spans"))
-    return arrow_map(d.join(spans.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "spans"), _verify(dict(templates), least), "doc_id long, license string, start int, end int, similarity double").distinct()
+    texts = arrow_map(d, _promising(places, share, k), "doc_id long, text string") if len(places) <= BROADCAST_ROWS else d
+    return arrow_map(texts.join(spans.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "spans"), _verify(dict(templates), least), "doc_id long, license string, start int, end int, similarity double").distinct()
