@@ -23,8 +23,8 @@ SEP = "<SEP>"
 @pytest.mark.parametrize(
     ("content", "want"),
     [
-        (b"Hello world<SEP>second doc here<SEP>and a third", 3), (b"<SEP>middle doc<SEP>", 1), (b"one<SEP><SEP><SEP>two", 2), (b"no separator", 1), (b"", 0),
-        (b"good doc<SEP>bad \xff\xfe bytes<SEP>trailing ok", 3), (SEP.join(f"document {k}" for k in range(200)).encode(), 200),
+        (b"first words<SEP>more of them<SEP>the end", 3), (b"<SEP>between two<SEP>", 1), (b"x y<SEP><SEP><SEP>z", 2), (b"no separator", 1), (b"", 0),
+        (b"sound<SEP>bad \xff\xfe ones<SEP>sound again", 3), (SEP.join(f"document {k}" for k in range(200)).encode(), 200),
     ],
 )
 def test_documents(spark, tmp_path, content, want):

@@ -47,6 +47,8 @@ def documents(name: str, column: Callable[[Column], Column], sql: str | None = N
 
 _W = r"\s\p{Z}\x0b\x{85}"
 _SUFFIX = "''(?:[sSdDmMtT]|[lL][lL]|[vV][eE]|[rR][eE])"
+_L, _N = r"\p{L}", r"\p{N}"
+_REST = rf"[^{_W}{_L}{_N}\x01]+"
 
 
 def _marked(text: str, last: str) -> str:
@@ -59,15 +61,16 @@ def _matches(text: str, pattern: str) -> str:
 
 
 def _gpt2(text: str) -> str:
-    return _matches(_marked(text, _W), rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}\x01]+|[{_W}]+|\x01")
+    return _matches(_marked(text, _W), "|".join((*("''" + x for x in ("s", "t", "re", "ve", "m", "ll", "d")), f" ?{_L}+", f" ?{_N}+", f" ?{_REST}", f"[{_W}]+", r"\x01")))
 
 
 def _like_cl100k(words: str, digits: str, marks: str = "") -> str:
-    return _matches(_marked("text", r" \t\p{Z}"), rf"{words}|{digits}| ?[^{_W}\p{{L}}\p{{N}}\x01]+[\r\n{marks}]*|[{_W}]*[\r\n]+|[{_W}]+|\x01")
+    return _matches(_marked("text", r" \t\p{Z}"), "|".join((words, digits, rf" ?{_REST}[\r\n{marks}]*", rf"[{_W}]*[\r\n]+", f"[{_W}]+", r"\x01")))
 
 
-_ONE = r"[^\r\n\p{L}\p{N}\x01]?"
-_UP, _LOW = r"\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}", r"\p{Ll}\p{Lm}\p{Lo}\p{M}"
+_ONE = rf"[^\r\n{_L}{_N}\x01]?"
+_CASELESS = r"\p{Lm}\p{Lo}\p{M}"
+_UP, _LOW = rf"\p{{Lu}}\p{{Lt}}{_CASELESS}", rf"\p{{Ll}}{_CASELESS}"
 _CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2CEAF}\x{2F800}-\x{2FA1F}"
 _PUNCT = r"!-/:-@\[-`{-~\p{P}"
 _PIECES = {
