@@ -17,7 +17,8 @@ import numpy as np
 from .text import buffers, span_hashes, spans_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+_LETTER, _NUMBER = r"\p{L}", r"\p{N}"
+PATTERN = "|".join((r"'(?:[sdmt]|ll|ve|re)", f" ?{_LETTER}++", f" ?{_NUMBER}++", rf" ?[^\s{_LETTER}{_NUMBER}]++", r"\s++$", r"\s+(?!\S)", r"\s"))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A worker forgets its chunks beyond so many.
