@@ -105,6 +105,15 @@ def test_neighbours_don_t_run_together(spark):
     assert own == sorted(["97.51.17.173", "97.51.17.173", "8.8.8.8", "+1 (323) 555-9830", "+1 (017) 555-7713", "ann@mail.example.com"] + (["9807915762804490"] if pii.luhn("9807915762804490") else []))
 
 
+def test_what_proves_itself():
+    good = ["(323) 555-9830", "323-555-9830", "123-45-6789", "4539 1488 0343 6467", "+44 20 7946 0958", "GB82 WEST 1234 5698 7654 32", "Ann.B@x.example.org", "255.0.10.1"]
+    bad = ["000-45-6789", "123-00-6789", "923-45-6789", "123-555-9830", "4539148803436468", "1111111111111111", "GB83 WEST 1234 5698 7654 32", "256.0.10.1", "12-34", "2024-05-17"]
+    for raw in good + bad:
+        m = pii.CANDIDATE.fullmatch(raw)
+        assert m, raw
+        assert pii.proves(m.lastgroup, raw) == (raw in good), raw
+
+
 def test_odd_rows(spark):
     rows = [*ODD, (1, "a@b.example.com"), (1, "a@b.example.com"), (None, "mail a@b.example.com é 👍"), (2, "word " * 50_000 + "a@b.example.com"), (3, "1" * 200_000), (4, "9 " * 50_000)]
     got = pii.extract_identifiers(documents(spark, rows).selectExpr("*", "1 as value", "2 as pattern", "3 as kind")).collect()

@@ -3,7 +3,8 @@
 Candidates are stretches of text with a digit or ``@`` that are shaped like an
 identifier (an address, a phone number, groups of digits, a mixed code).
 Seeds are the candidates that prove themselves (address grammar, octets of an
-IP address, Luhn or mod-97 check digits, a country code) and, if given, a table of
+IP address, Luhn or mod-97 check digits, a country code, groups of digits of a
+telephone or social security number) and, if given, a table of
 known values.  Around each candidate lie lexical patterns: the two words before
 it, the word before, the word after, the words on both sides (each with the
 candidate's class), and its own skeleton (``9{4}-A{2}``;
@@ -62,6 +63,10 @@ _INK = np.ones(256, bool)
 _INK[[9, 10, 11, 12, 13, 32]] = False
 
 
+#: A North American telephone number, or a social security number of a range that is given out.
+_GROUPED = re.compile(r"\(?[2-9]\d\d\)?[ -]\d{3}-\d{4}|(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -85,7 +90,7 @@ def proves(kind: str, raw: str) -> bool:
         flat = raw.replace(" ", "")
         return 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
     if kind == "number":
-        return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn(digits)
+        return bool(_GROUPED.fullmatch(raw)) or (13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn(digits))
     return False
 
 
