@@ -82,6 +82,26 @@ def test_stage_keeps_all_rows(spark, case):
             assert r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("part", [200_000, 20, 5])
+def test_stage_against_brute_force(spark, case, part):
+    """However many parts the phrases are in, the stage cuts what brute force finds in the whole text."""
+    rows, items = case
+    rows = [*rows, (60, " ".join([*items[2].split(), *items[3].split(), "end"])), (60, f"x {items[5]} y {items[0]}")]  # two items that adjoin; a repeated id
+    docs = documents(spark, rows)
+
+    def cut_by_hand(text):
+        kept, at = "", 0
+        for a, b in brute(text, items):
+            kept, at = kept + text[at:a], b
+        return kept + text[at:]
+
+    got = decontaminate.decontaminate(docs, benchmark(spark, items), part=part).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((i, cut_by_hand(t)) for i, t in rows)
+    assert all(r.n_chars == len(r.text) for r in got)
+    told = decontaminate.contaminated(docs, benchmark(spark, items), part=part).collect()
+    assert sorted((r.doc_id, r.clean_text) for r in told) == sorted((i, cut_by_hand(t)) for i, t in rows if brute(t, items))
+
+
 def test_odd_and_empty(spark):
     docs, none = documents(spark, ODD), benchmark(spark, [None, "", "too short"])
     assert decontaminate.contaminated(docs, none).count() == 0

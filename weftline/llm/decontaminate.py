@@ -10,8 +10,9 @@ documents, so results don't depend on the shards.  Words outside the phrases'
 vocabulary share one symbol of the index: no phrase has it.
 
 There is no shuffle.  Phrases are broadcast in parts of at most ``part``
-phrases; for each part the documents are read once more, and the parts' spans
-are then merged by document.
+phrases; each shard is indexed once for each part, always over the whole texts,
+and the parts' occurrences are merged as words of a document before anything is
+cut, so results don't depend on the parts.
 
 Null or empty texts have no spans.  Spans are in characters, end exclusive.
 Rows without doc_id are not reported by ``contaminated`` but cleaned by
@@ -87,26 +88,33 @@ def _merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], reach[np.append(at[1:], len(spans)) - 1]], 1)
 
 
-def shard_spans(columns: list[pa.Array], part) -> dict[tuple[int, int], np.ndarray]:
-    """Byte spans of phrases by (column, row) for a shard of text columns; only texts with any."""
+def _occurrences(words: list[Words], part) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places, among all words and separators, of a part's phrases."""
     vocabulary, table, lengths = part
-    symbols, where = [], []
+    symbols = []
+    for w in words:
+        k = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
+        s = np.where(vocabulary[k] == w.hash, k + FIRST, OTHER)
+        symbols.append(np.insert(s, w.at[1:], SEPARATOR))
+    index = FMIndex(np.concatenate(symbols), len(vocabulary) + FIRST)
+    which, at = index.locate(*index.find(table, lengths))
+    return at, at + lengths[which] - 1
+
+
+def shard_spans(columns: list[pa.Array], parts: list) -> dict[tuple[int, int], np.ndarray]:
+    """Byte spans of all parts' phrases by (column, row) for a shard of text columns; only texts with any."""
+    held, where = [], []
     for c, column in enumerate(columns):
         for a, b, buf, off in slices(column):
             w = Words(buf, off)
-            k = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
-            s = np.where(vocabulary[k] == w.hash, k + FIRST, OTHER)
-            symbols.append(np.insert(s, w.at[1:], SEPARATOR))
+            held.append(w)
             gap = np.insert(np.stack([w.start, w.end], 1), w.at[1:], 0, axis=0)
             row = np.repeat(np.arange(a, b), np.diff(w.at) + 1)
             where.append((np.full(len(row), c, np.int32), row, gap[:, 0] - off[row - a], gap[:, 1] - off[row - a]))
-    s = np.concatenate(symbols)
-    index = FMIndex(s, len(vocabulary) + FIRST)
-    which, at = index.locate(*index.find(table, lengths))
-    if not len(at):
+    first, last = (np.concatenate(x) for x in zip(*(_occurrences(held, p.value) for p in parts)))
+    if not len(first):
         return {}
     c, row, start, end = (np.concatenate(x) for x in zip(*where))
-    first, last = at, at + lengths[which] - 1
     order = np.lexsort((first, row[first], c[first]))
     first, last = first[order], last[order]
     key = np.stack([c[first], row[first]], 1)
@@ -137,10 +145,10 @@ def in_shards(batches, text: int, shard_words: int):
         yield held
 
 
-def _find(part, shard_words: int):
+def _find(parts: list, shard_words: int):
     def run(batches):
         for held in in_shards(batches, 1, shard_words):
-            found = shard_spans([b.column(1) for b in held], part.value)
+            found = shard_spans([b.column(1) for b in held], parts)
             ids, spans, at, texts = [], [], [0], []
             for (c, row), s in found.items():
                 raw = held[c].column(1)[row].as_py()
@@ -156,29 +164,14 @@ def _find(part, shard_words: int):
     return run
 
 
-def _union(spans):
-    """Merged spans of a sorted array of spans, in Spark."""
-    step = lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-    ).otherwise(F.concat(acc, F.array(s)))
-    return F.aggregate(spans, F.array().cast(SPANS), step)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: int = 5, shard_words: int = 1 << 20, part: int = 200_000, id_col: str = "doc_id", text_col: str = "text", benchmark_text: str = "text") -> DataFrame:
     """(doc_id, spans, n_removed, clean_text) of the documents that hold a test phrase."""
     d = documents_in(docs, id_col, text_col).where("text is not null and doc_id is not null")
     parts = phrase_parts(benchmark.select(F.col(f"`{benchmark_text}`").alias("text")), n, least, part)
-    context = docs.sparkSession.sparkContext
-    schema = f"doc_id long, spans {SPANS}, text string"
-    found = [arrow_map(d, _find(context.broadcast(p), shard_words), schema) for p in parts]
-    if not found:
+    if not parts:
         return d.where("false").select("doc_id", F.array().cast(SPANS).alias("spans"), F.lit(0).alias("n_removed"), F.col("text").alias("clean_text"))
-    one = found[0]
-    for more in found[1:]:
-        one = one.unionByName(more)
-    if len(found) > 1:  # with several parts, identical rows of one doc_id are told once
-        one = one.groupBy("doc_id", "text").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).withColumn("spans", _union(F.col("spans")))
+    context = docs.sparkSession.sparkContext
+    one = arrow_map(d, _find([context.broadcast(p) for p in parts], shard_words), f"doc_id long, spans {SPANS}, text string")
     size = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
     return one.select("doc_id", "spans", size.alias("n_removed"), remove_spans(F.col("text"), F.col("spans")).alias("clean_text"))
 
@@ -190,10 +183,10 @@ def remove_spans(text, spans):
     return F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.substring(text, x["a"] + 1, x["b"] - x["a"])), "")
 
 
-def _clean(part, shard_words: int, text: int, size: int | None):
+def _clean(parts: list, shard_words: int, text: int, size: int | None):
     def run(batches):
         for held in in_shards(batches, text, shard_words):
-            found = shard_spans([b.column(text) for b in held], part.value)
+            found = shard_spans([b.column(text) for b in held], parts)
             for c, batch in enumerate(held):
                 own = {row: s for (k, row), s in found.items() if k == c}
                 if own:
@@ -216,16 +209,10 @@ def _clean(part, shard_words: int, text: int, size: int | None):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: int = 5, shard_words: int = 1 << 20, part: int = 200_000, text_col: str = "text", size_col: str | None = "n_chars", benchmark_text: str = "text") -> DataFrame:
-    """``docs``, all rows and columns, with the spans removed from the text and its length set anew in ``size_col``.
-
-    With more than one part of phrases, those of a later part are looked for in
-    what the earlier ones left.
-    """
+    """``docs``, all rows and columns, with the spans removed from the text and its length set anew in ``size_col``."""
     context = docs.sparkSession.sparkContext
     reach(docs.sparkSession)
-    out = docs
     text = docs.columns.index(text_col)
     size = docs.columns.index(size_col) if size_col in docs.columns else None
-    for p in phrase_parts(benchmark.select(F.col(f"`{benchmark_text}`").alias("text")), n, least, part):
-        out = out.mapInArrow(_clean(context.broadcast(p), shard_words, text, size), docs.schema)
-    return out
+    parts = phrase_parts(benchmark.select(F.col(f"`{benchmark_text}`").alias("text")), n, least, part)
+    return docs.mapInArrow(_clean([context.broadcast(p) for p in parts], shard_words, text, size), docs.schema) if parts else docs
