@@ -4,6 +4,8 @@ import random
 from collections import defaultdict
 from math import sqrt
 
+import pyarrow as pa
+
 from weftline.llm import pii
 
 from .helpers import ODD, documents, made_text
@@ -114,6 +116,27 @@ def test_what_proves_itself():
         assert pii.proves(m.lastgroup, raw) == (raw in good), raw
 
 
+def found_in(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    return sorted((i, a, b, k, v) for rows in pii._find([batch]) for i, a, b, k, v in zip(*(rows[x] for x in ("doc_id", "start", "end", "kind", "value"))))
+
+
+def test_candidates_are_those_of_whole_texts():
+    rng = random.Random(7)
+    parts = ["GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 00", "GB82", "WEST", "AB", "XYZ,", "WESTé", "ABCD”", "é", "1234", "a@b.example.com", "415.555.1234", "(415) 555.1234", "1.2.3.4", "the", "The", "Q" * 40, "4539 1488 0343 6467", "+1 (323) 555-9830", "x86", "3.14159"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", " ", "  ", "\n", ", ", ""]) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    want = sorted((i, a, b, k, v) for i, t in enumerate(texts) for a, b, k, v, _, _ in pii.candidates_in(t, [(0, len(t))]))
+    assert found_in(texts) == want
+
+
+def test_codes_with_letters_and_dotted_numbers_are_found(spark):
+    own = ["GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 00", "415.555.1234", "(415) 555.1234", "1.415.555.1234"]
+    rows = [(k, f"pay to {x}, he said. Then the rest") for k, x in enumerate(own)] + [(9, "released 17.05.2024 as 1.22.333 or 10.415.555.1234.9")]
+    texts = dict(rows)
+    got = pii.extract_identifiers(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, texts[r.doc_id][r.start : r.end], r.seed) for r in got) == [(k, x, True) for k, x in enumerate(own)]
+
+
 def test_odd_rows(spark):
     rows = [*ODD, (1, "a@b.example.com"), (1, "a@b.example.com"), (None, "mail a@b.example.com é 👍"), (2, "word " * 50_000 + "a@b.example.com"), (3, "1" * 200_000), (4, "9 " * 50_000)]
     got = pii.extract_identifiers(documents(spark, rows).selectExpr("*", "1 as value", "2 as pattern", "3 as kind")).collect()

@@ -43,6 +43,8 @@ from .text import slices, spans_of
 BROADCAST_ROWS = 200_000
 #: A candidate that isn't an address needs so many letters and digits, and digits, to tell one person from another.
 LEAST_SIGNS, LEAST_DIGITS = 6, 4
+#: So many capitals at most follow one another in what the pattern of a code takes.
+LONGEST_CODE = 31
 
 CANDIDATE = re.compile(
     r"""(?x)
@@ -50,7 +52,7 @@ CANDIDATE = re.compile(
     |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
     |(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\w]|[.-]\d))
     |(?P<code>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
-    |(?P<number>(?<!\w)(?:\(\d{2,4}\)[ ]?)?(?:\d{1,6}(?:[ -]\d{1,6})+|\d+)(?![\w]|\.\d))
+    |(?P<number>(?<!\w)(?:\(\d{2,4}\)[ .]?\d{2,4}(?:\.\d{2,4}){1,3}|(?<!\d\.)\d{1,4}(?:\.\d{2,4}){2,4}|(?:\(\d{2,4}\)[ ]?)?(?:\d{1,6}(?:[ -]\d{1,6})+|\d+))(?![\w]|\.\d))
     |(?P<mixed>(?<!\w)(?=[\w-]*\d)[^\W_][\w-]*(?!\w))
     """
 )
@@ -64,7 +66,7 @@ _INK[[9, 10, 11, 12, 13, 32]] = False
 
 
 #: A North American telephone number, or a social security number of a range that is given out.
-_GROUPED = re.compile(r"\(?[2-9]\d\d\)?[ -]\d{3}-\d{4}|(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}")
+_GROUPED = re.compile(r"\(?[2-9]\d\d\)?[ -]\d{3}-\d{4}|(?:1\.)?[2-9]\d\d\.\d{3}\.\d{4}|\([2-9]\d\d\)[ .]?\d{3}\.\d{4}|(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}")
 
 
 def luhn(digits: str) -> bool:
@@ -142,19 +144,33 @@ def candidates_in(text: str, stretches: list[tuple[int, int]]):
 
 
 def _stretches(buf: np.ndarray, off: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each text, the byte spans of neighbouring chunks with a digit or ``@``, and one chunk without on either side where it has a capital or bracket only."""
+    """For each text, byte spans of whole chunks that no candidate of the text reaches over.
+
+    They are neighbouring chunks with a digit or ``@``, and those without that
+    follow by one space and are capitals only, as in the groups of a code: the
+    capitals that another sign ends are taken with that sign, and end the stretch.
+    """
     out: list[list[tuple[int, int]]] = [[] for _ in range(len(off) - 1)]
-    hot = np.flatnonzero(_HOT[buf])
-    if not len(hot):
+    if not _HOT[buf].any():
         return out
     start, end = spans_of(_INK[buf], off)
-    chunk = np.unique(np.searchsorted(start, hot, "right") - 1)
-    row = np.searchsorted(off, start[chunk], "right") - 1
+    row = np.searchsorted(off, start, "right") - 1
+    hot = np.zeros(len(start), bool)
+    hot[np.searchsorted(start, np.flatnonzero(_HOT[buf]), "right") - 1] = True
+    near = np.append(False, (row[1:] == row[:-1]) & (start[1:] == end[:-1] + 1))
+    other = np.append(np.flatnonzero((buf < 65) | (buf > 90)), len(buf))
+    capitals = np.minimum(other[np.searchsorted(other, start)], end) - start
+    linked = near & ~hot & (capitals > 0) & (capitals <= LONGEST_CODE)
+    whole = linked & (start + capitals == end)
+    stop = np.maximum.accumulate(np.where(whole, 0, np.arange(len(start))))  # the last chunk, this one or before, that isn't only capitals in a row of them
+    taken = hot | (linked & np.append(False, hot[stop[:-1]]))
+    end = np.where(hot | whole, end, start + capitals + 1)
+    chunk = np.flatnonzero(taken)
     new = np.ones(len(chunk), bool)
-    new[1:] = (chunk[1:] != chunk[:-1] + 1) | (row[1:] != row[:-1]) | (start[chunk[1:]] > end[chunk[:-1]] + 1)
+    new[1:] = (chunk[1:] != chunk[:-1] + 1) | ~near[chunk[1:]] | ~(hot | whole)[chunk[:-1]]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(chunk)) - 1
-    for r, a, b in zip(row[first].tolist(), start[chunk[first]].tolist(), end[chunk[last]].tolist()):
+    for r, a, b in zip(row[chunk[first]].tolist(), start[chunk[first]].tolist(), end[chunk[last]].tolist()):
         out[r].append((a - int(off[r]), b - int(off[r])))
     return out
 
