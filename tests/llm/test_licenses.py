@@ -71,6 +71,40 @@ def test_candidates_are_those_of_brute_force(spark):
     assert all(sum(map(len, brute_votes(dict(rows)[i], licenses.TEMPLATES[name]).values())) >= 0.4 * (len(t) - 2) for i in got)
 
 
+def brute_similarity(text, template):
+    """The greatest similarity of any span, by the longest common subsequence from each start."""
+    w, t = words_of(text), words_of(template)
+    best = 0.0
+    for a in range(len(w)):
+        row = [0] * (len(t) + 1)
+        for b in range(a, min(len(w), a + 2 * len(t))):
+            new = [0]
+            for j, x in enumerate(t):
+                new.append(row[j] + 1 if x == w[b] else max(row[j + 1], new[j]))
+            row = new
+            best = max(best, 2 * row[-1] / (b - a + 1 + len(t)))
+    return best
+
+
+def test_runs_put_in_or_left_out(spark):
+    """Clauses of 5 to 15 words in the middle of long templates, and as many words left out, against brute force."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for k, (name, size, sign) in enumerate([(x, y, z) for x in ("apache-2.0-header", "mit-grant", "gpl-notice") for y in (5, 6, 10, 15) for z in (1, -1)]):
+        t = licenses.TEMPLATES[name].split()
+        at = len(t) // 2
+        t[at : at + (size if sign < 0 else 0)] = made_text(rng, size).split() if sign > 0 else []
+        rows.append((k, f"{made_text(rng, 12)} {' '.join(t)} {made_text(rng, 12)}"))
+        want[k] = (name, brute_similarity(rows[-1][1], licenses.TEMPLATES[name]))
+    twice = rows[3][1] + " " + licenses.TEMPLATES["apache-2.0-header"] + " " + rows[2][1]
+    got = licenses.scan_licenses(documents(spark, [*rows, (99, twice)])).collect()
+    for k, (name, similarity) in want.items():
+        own = [r.similarity for r in got if r.doc_id == k and r.license == name]
+        assert (len(own) == 1) == (similarity >= 0.8), (k, name, similarity)
+        assert all(0.8 <= x <= similarity + 1e-9 for x in own) and (not own or own[0] > similarity - 0.02), (k, own, similarity)
+    assert sum(r.doc_id == 99 and r.license == "apache-2.0-header" for r in got) == 1 + sum(want[k][1] >= 0.8 for k in (2, 3))
+
+
 def test_many_templates_give_the_same(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(k, f"{made_text(rng, 20)} {t} {made_text(rng, 9)}") for k, t in enumerate(licenses.TEMPLATES.values())] + [(90, "licensed under the terms of the license, version 2.0 of this")]

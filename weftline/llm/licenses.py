@@ -3,9 +3,10 @@
 All rolling hashes of ``k`` words of all documents are joined with the positions
 of the same hashes in license templates.  A match at word p of a document and
 word q of a template votes for the diagonal p - q; votes are aggregated by
-diagonal, neighbouring diagonals (a few words put in or left out) are merged,
-and where enough of the template has voted, the span is verified word by word
-on the document's text.
+diagonal, diagonals as near as ``least`` allows for the template's length (words
+put in or left out) are merged, and where enough of the template has voted, the
+spans there are found word by word on the document's text, by an alignment that
+is exact: of all spans the one with the most words in common for its length.
 
 Cost: the join's template side is broadcast while it has at most
 ``BROADCAST_ROWS`` rows, else Spark chooses; only matches are shuffled.  For
@@ -20,7 +21,6 @@ with the most matched words, ties to the first by name.
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Mapping
 
 import numpy as np
@@ -106,10 +106,51 @@ def _promising(places: list[tuple[str, int, int, int]], share: float, k: int):
     return run
 
 
+def _best(own: np.ndarray, places: dict[int, np.ndarray], n: int, least: float) -> tuple[int, int, int] | None:
+    """(start, end, words in common) of the span of ``own`` that is most over ``least``, among the first such.
+
+    A span's similarity is at least ``least`` just where 2 * common - least * (length + n) >= 0.  The greatest
+    2 * common - least * length of spans that end here and use the first j words of the template is kept for each j,
+    in thousandths, with the span's start in the lower half; what each word costs is in ``off``.
+    """
+    cost, gain, held = round(least * 1000) << 32, 2000 << 32, np.zeros(n + 1, np.int64)
+    best, found = None, None
+    for i, h in enumerate(own.tolist()):
+        if found and i > found[1] + n * 2:  # no span that overlaps this one reaches so far
+            break
+        at = places.get(h)
+        if at is None:
+            continue
+        off = cost * i
+        held[at + 1] = np.maximum(held[at + 1], np.maximum(held[at], off + i) + gain)
+        np.maximum.accumulate(held, out=held)
+        top = int(held[-1]) - off - cost
+        if best is None or top >> 32 > best:
+            start = top & 0xFFFFFFFF
+            length = i + 1 - start
+            same = ((top >> 32) + (cost >> 32) * length) // 2000
+            best = top >> 32
+            if 2 * same / (length + n) >= least:
+                found = (start, i + 1, same)
+    return found
+
+
+def _spans(own: np.ndarray, places: dict[int, np.ndarray], n: int, least: float):
+    """All spans of ``own`` that are like a template, none over another."""
+    todo = [(0, len(own))]
+    while todo:
+        lo, hi = todo.pop()
+        if found := _best(own[lo:hi], places, n, least):
+            a, b, same = found
+            yield lo + a, lo + b, same
+            todo += [(x, y) for x, y in ((lo + b, hi), (lo, lo + a)) if y - x >= n * least / (2 - least) and y > x]
+
+
 def _verify(templates: Mapping[str, str], least: float):
-    words = {}
+    words: dict[str, tuple[dict[int, np.ndarray], int]] = {}
     for name, text in templates.items():
-        words[name] = [int(x) for x in next(Words(buf, off) for _, _, buf, off in slices(pa.array([text]))).hash]
+        t = next(Words(buf, off) for _, _, buf, off in slices(pa.array([text]))).hash
+        words[name] = ({int(h): np.flatnonzero(t == h) for h in np.unique(t)}, len(t))
 
     def run(batches):
         for batch in batches:
@@ -117,19 +158,12 @@ def _verify(templates: Mapping[str, str], least: float):
             for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = np.frombuffer(text.encode(), np.uint8)
                 w = Words(raw, np.array([0, len(raw)]))
-                found = []
+                found = set()
                 for s in spans:
-                    t = words[s["template"]]
+                    places, n = words[s["template"]]
                     lo, hi = max(0, s["first"]), min(len(w.hash), s["last"])
-                    own = [int(x) for x in w.hash[lo:hi]]
-                    blocks = [b for b in difflib.SequenceMatcher(None, own, t, autojunk=False).get_matching_blocks() if b.size]
-                    same = sum(b.size for b in blocks)
-                    if not same:
-                        continue
-                    a, b = lo + blocks[0].a, lo + blocks[-1].a + blocks[-1].size
-                    similarity = 2 * same / (b - a + len(t))
-                    if similarity >= least:
-                        found.append((-same, s["template"], a, b, similarity))
+                    for a, b, same in _spans(w.hash[lo:hi], places, n, least):
+                        found.add((-same, s["template"], lo + a, lo + b, 2 * same / (b - a + n)))
                 taken = []
                 for _, name, a, b, similarity in sorted(found):
                     if all(b <= x or a >= y for x, y in taken):
@@ -147,8 +181,9 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, k:
     """(doc_id, license, start, end, similarity) of the spans that are like a template.
 
     A candidate has votes from at least ``share`` of the template's hashes on
-    diagonals at most ``apart`` from each other's neighbours; a span is told if
-    its words are like the template's by at least ``least``.
+    diagonals no further from each other's neighbours than a span that is like
+    the template by ``least`` can have words put in or left out (``apart`` at
+    least); a span is told if its words are like the template's by at least ``least``.
     """
     spark = docs.sparkSession
     d = documents_in(docs, id_col, text_col).where("doc_id is not null and text is not null")
@@ -158,10 +193,12 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, k:
         known = F.broadcast(known)
     match = arrow_map(d, _grams(k), "doc_id long, p int, h long").join(known, "h")
     votes = match.groupBy("doc_id", "template", "n", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set("q").alias("qs"), F.min("p").alias("first"), F.max("p").alias("last"))
+    # of N words at most N * (2 / least - 2) can be put in; at most as many again are left out
+    gap = F.greatest(F.lit(apart), F.ceil((F.col("n") + k - 1) * min(1.0, 2 / max(least, 1e-9) - 2))).cast("int")
     by = Window.partitionBy("doc_id", "template").orderBy("diagonal")
-    new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > apart).cast("int"), F.lit(1))
+    new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > gap).cast("int"), F.lit(1))
     merged = votes.withColumn("new", new).withColumn("cluster", F.sum("new").over(by)).groupBy("doc_id", "template", "n", "cluster").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("voted"), (F.min("first") - apart).cast("int").alias("first"), (F.max("last") + k + apart).cast("int").alias("last"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("voted"), (F.min("first") - F.max(gap)).cast("int").alias("first"), (F.max("last") + k + F.max(gap)).cast("int").alias("last"),
     )
     spans = merged.where(F.col("voted") >= F.greatest(F.lit(1), F.col("n") * share)).groupBy("doc_id").agg(F.collect_list(F.struct("template", "first", "last")).alias("spans"))
     texts = arrow_map(d, _promising(places, share, k), "doc_id long, text string") if len(places) <= BROADCAST_ROWS else d
