@@ -71,6 +71,18 @@ def test_candidates_are_those_of_brute_force(spark):
     assert all(sum(map(len, brute_votes(dict(rows)[i], licenses.TEMPLATES[name]).values())) >= 0.4 * (len(t) - 2) for i in got)
 
 
+def test_distinguishing_words_and_whole_texts(spark):
+    lines = {
+        "Licensed under CC BY 4.0.": "cc-by-4.0-line", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0-line", "Licensed under CC BY-NC 3.0.": None,
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl-3.0", "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0", "This work is licensed under the GNU General Public License, version 1.": None,
+    }
+    bodies = {licenses.TEMPLATES[f"{x}-full"]: f"{x}-full" for x in licenses.BODIES}
+    want = list((lines | bodies).items())
+    got = licenses.scan_licenses(documents(spark, [(k, "some words go before " + t) for k, (t, _) in enumerate(want)])).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(k, x) for k, (_, x) in enumerate(want) if x]
+
+
 def brute_similarity(text, template):
     """The greatest similarity of any span, by the longest common subsequence from each start."""
     w, t = words_of(text), words_of(template)

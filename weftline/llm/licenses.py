@@ -16,11 +16,16 @@ hashes in any order move once; all texts do beyond ``BROADCAST_ROWS``.
 Null and empty texts, and texts of fewer than k words, have no match.  Rows
 without doc_id are left out.  Repeated rows are told once.  Spans are in
 characters, end exclusive.  A span that several templates claim goes to the one
-with the most matched words, ties to the first by name.
+with the most matched words, then the most similar, then the first by name.  A
+span with words that make another license of it (``NC``, ``Lesser``), or without
+those or the version of its template, isn't told.
 """
 
 from __future__ import annotations
 
+import pkgutil
+import re
+from collections import Counter
 from collections.abc import Mapping
 
 import numpy as np
@@ -46,7 +51,42 @@ TEMPLATES = {
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "all-rights-reserved": "All rights reserved.",
+    "epl-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc0-1.0": "This work is dedicated to the public domain under CC0 1.0 Universal.",
+    "isc": "Released under the ISC License.",
 }
+_GNU = {"gpl-2.0": ("", "2"), "lgpl-2.1": ("Lesser ", "2.1"), "lgpl-3.0": ("Lesser ", "3"), "agpl-3.0": ("Affero ", "3")}
+TEMPLATES |= {name: f"This work is licensed under the GNU {kind}General Public License, version {version}." for name, (kind, version) in _GNU.items()}
+TEMPLATES |= {
+    f"{name}-notice": f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    for name, (kind, version) in _GNU.items()
+}
+for _by, _long in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives")):
+    if _by != "by-nc":
+        TEMPLATES[f"cc-{_by}-4.0-line"] = f"Licensed under CC {_by.upper()} 4.0."
+    if _by not in ("by", "by-sa"):
+        TEMPLATES[f"cc-{_by}-4.0-{'long' if _by == 'by-nc' else 'work'}"] = f"This work is licensed under a Creative Commons {_long} 4.0 International License."
+#: Whole texts, in ``license_texts``.
+BODIES = ("apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc0-1.0", "gpl-2.0", "gpl-3.0", "isc", "lgpl-2.1", "lgpl-3.0", "mit", "mpl-2.0", "unlicense")
+TEMPLATES |= {f"{name}-full": (pkgutil.get_data(__package__, f"license_texts/{name}-full.txt") or b"").decode().strip() for name in BODIES}
+
+#: Words that make another license of a text that is else much the same: a span has no more of them than its template.
+_MARKS = frozenset("noncommercial noderivatives noderivs sharealike lesser affero".split())
+_SHORT = frozenset("nc nd sa".split())  # in a name such as BY-NC-SA only
+_BEFORE_VERSION = frozenset("version v license by nc nd sa attribution noncommercial noderivatives sharealike cc0".split())
+#: A template of at most so many words is a line or notice, whose own marks and version the span must have.
+NOTICE_WORDS = 120
+
+
+def _marks(words: list[str]) -> Counter[str]:
+    return Counter(w for before, w in zip(["", *words], words) if w in _MARKS or (w in _SHORT and (before == "by" or before in _SHORT)))
+
+
+def distinguishing(text: str) -> tuple[Counter[str], frozenset[str]]:
+    """(marks, words that a span must have) of a template."""
+    words = re.findall(r"\w+", text.lower())
+    need = set(_marks(words)) | {b for a, b in zip(words, words[1:]) if a in _BEFORE_VERSION and b.isdigit()}
+    return _marks(words), frozenset(need if len(words) <= NOTICE_WORDS else ())
 
 
 def _grams(k: int):
@@ -84,7 +124,9 @@ def _promising(places: list[tuple[str, int, int, int]], share: float, k: int):
     least = np.zeros(len(names))
     for name, _, _, n in places:
         least[names.index(name)] = max(1.0, n * share)
-    known = np.unique(one[:, 1])
+    one = one[np.argsort(one[:, 1], kind="stable")]
+    known, bound = np.unique(one[:, 1], return_index=True)
+    bound = np.append(bound, len(one))
 
     def run(batches):
         for batch in batches:
@@ -97,8 +139,9 @@ def _promising(places: list[tuple[str, int, int, int]], share: float, k: int):
                 rows = np.searchsorted(bounds, hit, "right") - 1
                 kept = []
                 for r in np.unique(rows):
-                    there = np.isin(one[:, 1], h[hit[rows == r]])
-                    if (np.bincount(one[there, 0], minlength=len(names)) >= least).any():
+                    own = np.unique(at[hit[slice(*np.searchsorted(rows, [r, r + 1]))]])
+                    there = np.concatenate([one[bound[x] : bound[x + 1], 0] for x in own.tolist()])
+                    if (np.bincount(there, minlength=len(names)) >= least).any():
                         kept.append(a + int(r))
                 if kept:
                     yield {"doc_id": batch.column(0).take(pa.array(kept)), "text": batch.column(1).take(pa.array(kept))}
@@ -148,8 +191,10 @@ def _spans(own: np.ndarray, places: dict[int, np.ndarray], n: int, least: float)
 
 def _verify(templates: Mapping[str, str], least: float):
     words: dict[str, tuple[dict[int, np.ndarray], int]] = {}
+    marks: dict[str, tuple[Counter[str], frozenset[str]]] = {}
     for name, text in templates.items():
         t = next(Words(buf, off) for _, _, buf, off in slices(pa.array([text]))).hash
+        marks[name] = distinguishing(text)
         words[name] = ({int(h): np.flatnonzero(t == h) for h in np.unique(t)}, len(t))
 
     def run(batches):
@@ -163,9 +208,12 @@ def _verify(templates: Mapping[str, str], least: float):
                     places, n = words[s["template"]]
                     lo, hi = max(0, s["first"]), min(len(w.hash), s["last"])
                     for a, b, same in _spans(w.hash[lo:hi], places, n, least):
-                        found.add((-same, s["template"], lo + a, lo + b, 2 * same / (b - a + n)))
+                        own = re.findall(r"\w+", raw[w.start[lo + a] : w.end[lo + b - 1]].tobytes().decode().lower())
+                        most, need = marks[s["template"]]
+                        if _marks(own) <= most and need <= set(own):
+                            found.add((-same, s["template"], lo + a, lo + b, 2 * same / (b - a + n)))
                 taken = []
-                for _, name, a, b, similarity in sorted(found):
+                for _, name, a, b, similarity in sorted(found, key=lambda x: (x[0], -x[4], x)):
                     if all(b <= x or a >= y for x, y in taken):
                         taken.append((a, b))
                         start, end = char_offsets(raw, np.array([w.start[a], w.end[b - 1]]))
