@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import toy_models
 from .functions import arrays, normalize, pretokenize
 from .operators import diff
-from .operators.tokenizer import Tokenizer, with_starts
+from .operators.tokenizer import Tokenizer
 from .plans import dedup
 from .spec import ModelSpec, Padding, Template, Truncation
 
@@ -233,7 +233,7 @@ def d7(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d8_flat_batch", "select doc_id, strlen(text) as n, cast(coalesce(sum(strlen(text)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start from documents")
 def d8(spark: SparkSession, d: str) -> DataFrame:
-    return with_starts(table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("n")), "doc_id")
+    return Tokenizer(BYTES).encode_batch_flat(table(spark, d, "documents"), "doc_id", add_special_tokens=False).select("doc_id", "n", "start")
 
 
 @query("d10_token_stream", "select n_nationkey, cast(generate_subscripts(l, 1) - 1 as integer) as pos, cast(unicode(unnest(l)) as integer) as id from (select n_nationkey, string_split(n_name, '') as l from nation)")
