@@ -24,10 +24,13 @@ _local: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; where unset (tests), a temporary one."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share; where unset, a temporary one, on one machine (``local[...]``) only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _local:
         held = tempfile.TemporaryDirectory(prefix="weftline-")
         atexit.register(held.cleanup)
@@ -35,15 +38,40 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[0]
 
 
+def _place(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder, which survives the loss of executors; deleted when the session's JVM ends."""
+    """``df`` as a table written to the shared folder, which survives the loss of executors; deleted by ``free``, or when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/weftline/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    system, where = _place(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote; what is still to be computed from them can't be."""
+    for df in tables:
+        system, where = _place(df.sparkSession, df._weftline_path)
+        system.delete(where, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before them until no column of ``df`` has them, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def pick(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:

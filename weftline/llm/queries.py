@@ -63,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {"op10_line_dedup": lines.sql()}
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": jaccard.sql(), "op10_line_dedup": lines.sql()}
