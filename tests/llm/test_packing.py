@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -72,6 +73,59 @@ def test_plan_uses_what_there_is():
         assert used == Counter({k: int(v) for k, v in enumerate(counts) if v})
 
 
+def fills(counts, capacity):
+    """Whether some four pieces or fewer fill a bin exactly, by trying all."""
+    own = [v for v, n in enumerate(counts) for _ in range(min(int(n), 4))]
+    return any(sum(c) == capacity for k in (1, 2, 3, 4) for c in combinations(own, k))
+
+
+def test_no_exact_combination_is_left():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        counts = np.zeros(25, np.int64)
+        counts[1:] = rng.integers(0, 4, 24) * rng.integers(0, 2, 24)
+        bins, left = packing.complements(counts, 24)
+        assert all(sum(lengths) == 24 and len(lengths) <= 4 for lengths, _ in bins)
+        assert not fills(left, 24)
+        used = Counter()
+        for lengths, times in bins:
+            for v in lengths:
+                used[v] += times
+        assert all(used[v] + (left[v] if v < len(left) else 0) == counts[v] for v in range(25))
+
+
+def test_plan_against_the_fewest_bins():
+    """Of all ways to pack small sets, none takes more than one bin fewer."""
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        lengths = sorted(rng.integers(1, 13, 8).tolist(), reverse=True)
+
+        def fewest(k, gaps, best):
+            if len(gaps) >= best:
+                return best
+            if k == len(lengths):
+                return len(gaps)
+            for i in range(len(gaps)):
+                if gaps[i] >= lengths[k]:
+                    best = min(best, fewest(k + 1, (*gaps[:i], gaps[i] - lengths[k], *gaps[i + 1 :]), best))
+            return min(best, fewest(k + 1, (*gaps, 12 - lengths[k]), best))
+
+        counts = np.bincount(lengths, minlength=13)
+        assert sum(t for _, t in packing.plan(counts, 12)) <= fewest(0, (), 9) + 1
+
+
+def test_many_blocks_deal_each_piece_once(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 7)
+    lengths = [10, 20, 34, 64, 64, 130] * 30
+    holds(packed(spark, lengths, 64), lengths, 64)
+
+
+def test_clashing_columns(spark):
+    docs = documents(spark, [(k, "some words in a text " * k) for k in range(5)]).selectExpr("*", "1 as block", "2 as length", "3 as k", "4 as start", "5 as bin_id")
+    rows = packing.best_fit_packing(docs).collect()
+    assert {i for r in rows for i in r.doc_ids} == {1, 2, 3, 4}
+
+
 def test_lengths_are_those_of_the_tokenizer(spark):
     rng = random.Random(6)
     rows = [(k, made_text(rng, k * 3)) for k in range(30)] + ODD
