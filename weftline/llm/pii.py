@@ -13,14 +13,13 @@ not of one that breaks the check digits or bounds of its shape).
 Patterns and values form a graph.  In each round a pattern's confidence is the
 lower bound (Wilson) of the share of its distinct values that are trusted, and
 a value that isn't a seed gets the noisy-or of its patterns of at least
-``confident``; values so trusted strengthen the patterns of the next round.
+``least_confidence``; values so trusted strengthen the patterns of the next round.
 Values that reach ``confident`` are identifiers wherever they occur as that
 class of candidate, seen with a pattern or not.
 
 Cost: one pass over the texts gives a narrow table of candidates, written to the
 shared folder; distinct (pattern, value) edges are made once; each round is two
-aggregations over them, whose results are tables in the shared folder.  A
-round's patterns are broadcast only while there are at most ``BROADCAST_ROWS``.
+aggregations over them, whose results are tables in the shared folder.
 
 Null and empty texts have no candidates; rows without doc_id are told with a null
 id; repeated rows are told each, and count once in the graph, as it holds
@@ -40,7 +39,6 @@ from pyspark.sql import functions as F
 from .common import arrow_map, cut, documents_in, pick
 from .text import slices, spans_of
 
-BROADCAST_ROWS = 200_000
 #: A candidate that isn't an address needs so many letters and digits, and digits, to tell one person from another.
 LEAST_SIGNS, LEAST_DIGITS = 6, 4
 #: So many capitals at most follow one another in what the pattern of a code takes.
@@ -117,6 +115,16 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts).encode()) - (1 << 63)
 
 
+def words_before(text: str, at: int) -> list[str]:
+    """The last two words before a place, whole."""
+    width = 40
+    while True:
+        width *= 2
+        words = [w.lower() for w in _WORD.findall(text[max(0, at - width) : at])]
+        if at <= width or len(words) > 2:  # the first may be cut
+            return words[-2:]
+
+
 def candidates_in(text: str, stretches: list[tuple[int, int]]):
     """(start, end, class, value, raw, patterns) of the candidates in stretches of a text, which hold whole words."""
     for a, b in stretches:
@@ -125,10 +133,7 @@ def candidates_in(text: str, stretches: list[tuple[int, int]]):
             signs = sum(c.isalnum() for c in raw)
             if kind in ("number", "mixed", "code") and (signs < LEAST_SIGNS or sum("0" <= c <= "9" for c in raw) < LEAST_DIGITS):
                 continue
-            before = [w.lower() for w in _WORD.findall(text[max(0, m.start() - 80) : m.start()])[-2:]]
-            if m.start() > 80 and len(before) < 2:  # words so long that there are none of them whole
-                before = []
-            after = _WORD.search(text, m.end(), m.end() + 80)
+            before, after = words_before(text, m.start()), _WORD.search(text, m.end())
             after = after[0].lower() if after else ""
             last = before[-1] if before else ""
             patterns = [] if fails(kind, raw) else [_hash("S", kind, skeleton(raw)) if kind != "email" else _hash("S", kind)]
@@ -214,25 +219,25 @@ def wilson(good, n, z: float = 1.64):
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def bootstrap(found: DataFrame, seeds: DataFrame, rounds: int, confident: float, least_values: int) -> DataFrame:
-    """(value, score) of the trusted values of the graph between patterns and values; seeds have the score 1."""
-    trusted = cut(seeds.select("value").distinct().withColumn("score", F.lit(1.0)))
+def bootstrap(found: DataFrame, seeds: DataFrame, rounds: int, confident: float, least_values: int, least_confidence: float) -> DataFrame:
+    """(value, score, seed) of the trusted values of the graph between patterns and values; seeds have the score 1."""
+    own = seeds.select("value").distinct().select("value", F.lit(1.0).alias("score"), F.lit(True).alias("seed"))
+    trusted = cut(own)
     edges = cut(found.select("value", F.explode("patterns").alias("pattern")).distinct())
     for _ in range(rounds):
         scored = edges.join(trusted, "value", "left").groupBy("pattern").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("good"), F.count("*").alias("n"))
-        patterns = cut(scored.where((F.col("n") >= least_values) & (F.col("good") > 0)).select("pattern", wilson(F.col("good"), F.col("n")).alias("confidence")).where(F.col("confidence") >= confident))
-        few = F.broadcast(patterns) if patterns.count() <= BROADCAST_ROWS else patterns
-        new = edges.join(few, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score")).where(F.col("score") >= confident)
-        trusted = cut(seeds.select("value").distinct().withColumn("score", F.lit(1.0)).unionByName(new.join(seeds.select("value"), "value", "left_anti")))
+        patterns = cut(scored.where((F.col("n") >= least_values) & (F.col("good") > 0)).select("pattern", wilson(F.col("good"), F.col("n")).alias("confidence")).where(F.col("confidence") >= least_confidence))
+        new = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score")).where(F.col("score") >= confident)
+        trusted = cut(own.unionByName(new.join(own.select("value"), "value", "left_anti").withColumn("seed", F.lit(False))))
     return trusted
 
 
-def extract_identifiers(docs: DataFrame, known: DataFrame | None = None, rounds: int = 3, confident: float = 0.8, least_values: int = 3, id_col: str = "doc_id", text_col: str = "text", known_col: str = "value") -> DataFrame:
+def extract_identifiers(docs: DataFrame, known: DataFrame | None = None, rounds: int = 3, confident: float = 0.8, least_values: int = 3, least_confidence: float = 0.4, id_col: str = "doc_id", text_col: str = "text", known_col: str = "value") -> DataFrame:
     """(doc_id, start, end, kind, seed, score) of the identifiers; ``known`` is a table of values to take as seeds too."""
     found = cut(candidates(documents_in(docs, id_col, text_col).where("text is not null")))
     seeds = found.where("seed").select("value")
     if known is not None:
         seeds = seeds.unionByName(arrow_map(pick(known, value=(known_col, "string")), _seed_values, "value long"))
     seeds = cut(seeds.distinct())
-    trusted = bootstrap(found, seeds, rounds, confident, least_values)
-    return found.drop("patterns", "seed").join(trusted, "value").select("doc_id", "start", "end", "kind", (F.col("score") == 1.0).alias("seed"), "score")
+    trusted = bootstrap(found, seeds, rounds, confident, least_values, least_confidence)
+    return found.drop("patterns", "seed").join(trusted, "value").select("doc_id", "start", "end", "kind", "seed", "score")
