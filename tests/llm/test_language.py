@@ -5,6 +5,7 @@ from collections import Counter
 from math import log
 
 import pyarrow as pa
+import pytest
 
 from weftline.llm import language
 from weftline.llm.text import slices
@@ -49,11 +50,12 @@ def test_scores_one_by_one():
     rng = np.random.default_rng(3)
     counts = rng.integers(0, 50, (3, 2, 1 << bits)).astype(float)
     model = language.Model(["a", "b", "c"], counts, 2, bits)
-    (s, _), = [model.score(buf, off) for _, _, buf, off in slices(pa.array(texts), 1 << 30)]
+    (s, _, size), = [model.score(buf, off) for _, _, buf, off in slices(pa.array(texts), 1 << 30)]
+    assert size.tolist() == [len(t) for t in texts]
     for k, t in enumerate(texts):
         for lang in range(3):
             want = sum(c * log((counts[lang, n - 1, g] + 0.5) / (counts[lang, n - 1].sum() + 0.5 * (1 << bits))) for n in (1, 2) for g, c in Counter(grams(t, n)).items())
-            assert abs(s[k, lang] - want) < 1e-9
+            assert abs(s[k, lang] - want) <= 1e-5 * max(1, abs(want))
 
 
 def test_odd_rows(spark):
@@ -70,3 +72,9 @@ def test_no_labels_and_empty(spark):
     odd = spark.createDataFrame([(i, t, None, "s", 0) for i, t in ODD], DOCS)
     assert {r.language for r in language.identify_language(odd).collect()} == {None}
     assert language.identify_language(odd.where("false")).count() == 0
+
+
+def test_too_many_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language, "ENTRIES", 1 << 15)
+    with pytest.raises(ValueError, match="labels"):
+        language.identify_language(table(spark, 60)[1])

@@ -4,8 +4,8 @@ Characters are lower-cased; the n-grams of 1 to ``order`` characters are hashed
 into ``buckets`` for each order.  The model is fitted on a bounded sample of
 labelled rows, about ``fit_rows`` of each language, those whose hash of doc_id is
 below the share that gives so many; their n-grams are counted by Spark.  The
-log-probability matrix (languages x orders x buckets, at most ``ENTRIES``, whatever
-the corpus) is broadcast, and whole texts are scored in batches by gathering and summing.
+log-probability matrix (languages x orders x buckets, at most ``ENTRIES``, else an
+error, whatever the corpus) is broadcast, and whole texts are scored in batches by gathering and summing.
 
 Cost: one pass to fit (texts outside the sample are dropped before Python), one
 to score; no shuffle of texts.
@@ -66,8 +66,8 @@ def hashed(cp: np.ndarray, bounds: np.ndarray, n: int, bits: int) -> tuple[np.nd
     return h[ok].astype(np.int64), out
 
 
-#: The log-probability matrix has at most so many entries: with many languages, each order gets fewer buckets.
-ENTRIES = 1 << 23
+#: The log-probability matrix has at most so many entries, four bytes each; more labels than fit are an error.
+ENTRIES = 1 << 25
 #: Labels up to so many are broadcast to draw the sample.
 BROADCAST_ROWS = 10_000
 
@@ -76,10 +76,10 @@ class Model:
     def __init__(self, langs: list[str], counts: np.ndarray, order: int, bits: int, alpha: float = 0.5):
         self.langs, self.order, self.bits = langs, order, bits
         total = counts.sum(2, keepdims=True)
-        self.log = np.log((counts + alpha) / (total + alpha * counts.shape[2]))
+        self.log = np.log((counts + alpha) / (total + alpha * counts.shape[2])).astype(np.float32)
 
-    def score(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log-probabilities by text and language, number of characters)."""
+    def score(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log-probabilities by text and language, number of letters, number of characters)."""
         cp, bounds = characters(buf, off)
         out = np.zeros((len(off) - 1, len(self.langs)))
         for n in range(1, self.order + 1):
@@ -87,9 +87,9 @@ class Model:
             some = np.flatnonzero(at[1:] > at[:-1])
             if len(some):
                 for k in range(len(self.langs)):
-                    out[some, k] += np.add.reduceat(self.log[k, n - 1][h], at[some])
+                    out[some, k] += np.add.reduceat(self.log[k, n - 1][h], at[some], dtype=np.float64)
         letters = np.append(0, np.cumsum(np.where(cp < 1 << 16, _tables()[1][np.minimum(cp, 65535)] & ~((cp >= 48) & (cp < 58)) & (cp != 95), True)))[bounds]
-        return out, np.diff(letters)
+        return out, np.diff(letters), np.diff(bounds)
 
 
 def fit(docs: DataFrame, fit_rows: int, order: int, bits: int, id_col: str, text_col: str, label_col: str) -> Model | None:
@@ -97,7 +97,8 @@ def fit(docs: DataFrame, fit_rows: int, order: int, bits: int, id_col: str, text
     counts = known.groupBy("lang").count().toArrow()  # reads the labels alone
     if not counts.num_rows:
         return None
-    bits = min(bits, max(4, int(ENTRIES / (counts.num_rows * order)).bit_length() - 1))
+    if counts.num_rows * order << bits > ENTRIES:
+        raise ValueError(f"{counts.num_rows} labels are too many for {order} orders of {1 << bits} buckets")
     share = docs.sparkSession.createDataFrame([(lang, fit_rows / n) for lang, n in zip(*(c.to_pylist() for c in counts.columns))], "lang string, share double")
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("fit")), 11) / F.lit(float(1 << 53))
     sample = known.where("text is not null").join(F.broadcast(share) if counts.num_rows <= BROADCAST_ROWS else share, "lang").where(place < F.col("share")).select("lang", "text")
@@ -138,10 +139,10 @@ def identify_language(docs: DataFrame, fit_rows: int = 1000, order: int = 3, bit
                 if m is None or not len(buf):
                     yield {"doc_id": ids, "language": pa.nulls(b - a, pa.string()), "margin": np.zeros(b - a)}
                     continue
-                s, n = m.score(buf, off)
+                s, n, size = m.score(buf, off)
                 best = s.argmax(1)
                 top = np.sort(s, 1)
-                margin = (top[:, -1] - top[:, -2]) / np.maximum(np.diff(off), 1) if s.shape[1] > 1 else np.zeros(b - a)
+                margin = (top[:, -1] - top[:, -2]) / np.maximum(size, 1) if s.shape[1] > 1 else np.zeros(b - a)
                 yield {"doc_id": ids, "language": pa.array(np.array(m.langs, object)[best], pa.string(), mask=n == 0), "margin": np.where(n == 0, 0.0, margin)}
 
     return arrow_map(pick(docs, doc_id=(id_col, "bigint"), text=(text_col, "string")), run, "doc_id long, language string, margin double")
