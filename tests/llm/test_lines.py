@@ -62,7 +62,7 @@ def test_odd_rows(spark):
 
 
 def test_columns_stay(spark):
-    docs = documents(spark, [(k, f"a boilerplate line on all sites\nown {k}", f"s{k}") for k in range(6)]).selectExpr("*", "7 as pos", "8 as k1", "9 as line")
+    docs = documents(spark, [(k, f"a boilerplate line on all sites\nown {k}", f"s{k}") for k in range(6)]).selectExpr("*", "7 as pos", "8 as k1", "9 as line", "1 as __gone", "2 as __Id", "3 as __version", "4 as gone", "5 as ID", "6 as version")
     got = lines.dedup_lines(docs)
     assert got.columns == docs.columns
     rows = {r.doc_id: r for r in got.collect()}

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, fresh, pick
 
 
 def _keyed(docs: DataFrame, min_chars: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
@@ -50,15 +50,16 @@ def dedup_lines(docs: DataFrame, min_sites: int = 5, min_chars: int = 20, log_k:
     """``docs``, all rows and columns, without boilerplate lines; the new length goes to ``size_col`` if there is such a column, the number of removed lines to ``count_col`` if given."""
     keyed = _keyed(docs, min_chars, id_col, text_col, site_col)
     found = cut(boilerplate(keyed, min_sites, log_k, margin))
-    gone = keyed.join(found, ["k1", "k2"]).where("doc_id <> keeper").groupBy("doc_id", "version").agg(F.collect_set("pos").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "__gone")
-    text = F.col(f"`{text_col}`")
-    joined = docs.join(gone, (F.col(f"`{id_col}`").cast("bigint") == F.col("__id")) & (F.xxhash64(text) == F.col("__version")), "left")
-    kept = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
-    new = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    where, version, gone_at = fresh(docs, "id", "version", "gone")
+    gone = keyed.join(found, ["k1", "k2"]).where("doc_id <> keeper").groupBy("doc_id", "version").agg(F.collect_set("pos").alias(gone_at))
+    gone = gone.select(F.col("doc_id").alias(where), F.col("version").alias(version), gone_at)
+    text, at = F.col(f"`{text_col}`"), F.col(gone_at)
+    joined = docs.join(gone, (F.col(f"`{id_col}`").cast("bigint") == F.col(where)) & (F.xxhash64(text) == F.col(version)), "left")
+    kept = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.when(~F.array_contains(at, i), x)), lambda x: x.isNotNull())
+    new = F.when(at.isNull(), text).otherwise(F.array_join(kept, "\n"))
     size = lambda c: F.length(new).cast(dict(docs.dtypes)[c]) if c == size_col else F.col(f"`{c}`")
-    columns = [new.alias(c) if c == text_col else F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(size(c)).alias(c) if c == size_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, *([F.coalesce(F.size("__gone"), F.lit(0)).alias(count_col)] if count_col else []))
+    columns = [new.alias(c) if c == text_col else F.when(at.isNull(), F.col(f"`{c}`")).otherwise(size(c)).alias(c) if c == size_col else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*columns, *([F.coalesce(F.size(at), F.lit(0)).alias(count_col)] if count_col else []))
 
 
 def line_dedup(docs: DataFrame, min_sites: int = 5, min_chars: int = 20, **more) -> DataFrame:
