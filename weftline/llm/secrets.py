@@ -301,7 +301,7 @@ def make(rng: np.random.Generator) -> tuple[str, tuple[int, int] | None]:
         kind = int(rng.integers(10))
         name, join = pick(_NAMES), pick(_JOINS[:8])
         if kind <= 3:
-            value = some(hexa, pick([32, 40, 40, 48, 64]))
+            value = some(hexa, pick([32, 40, 40, 48, 64]) if rng.random() < 0.5 else int(rng.integers(12, 65)))
         elif kind == 4:
             value = some(base64, int(rng.integers(20, 80))) + pick(["", "=", "=="])
         elif kind == 5:
@@ -314,17 +314,17 @@ def make(rng: np.random.Generator) -> tuple[str, tuple[int, int] | None]:
             value = "eyJ" + some(alnum, 17) + ".eyJ" + some(alnum, int(rng.integers(20, 60))) + "." + some(alnum + "_-", 43)
             name, join = pick([name, "Bearer", "Authorization: Bearer"]), pick([" %s", join])
         elif kind == 8:
-            value = some(alnum + "!@#$%^&*", int(rng.integers(10, 20)))
+            value = some(pick([alnum + "!@#$%^&*", alnum, hexa]), int(rng.integers(10, 24)))
             name = pick(["password", "passwd", "pwd", "db_password"])
         else:
-            value = "AK" + "IA" + some(string.ascii_uppercase + string.digits, 16)
+            value = "AKIA" + some(string.ascii_uppercase + string.digits, 16)
             name = pick([name, "aws_access_key_id", "key"])
         text = name + join % value
         a = text.rindex(value)
         return text, (a, a + len(value))
-    kind = int(rng.integers(11))
+    kind = int(rng.integers(12))
     if kind <= 2:
-        return pick(_PLAIN) + pick(_JOINS) % some(hexa, pick([7, 12, 32, 40, 64])), None
+        return pick(_PLAIN) + pick(_JOINS) % some(hexa, pick([7, 12, 32, 40, 64]) if rng.random() < 0.5 else int(rng.integers(7, 65))), None
     if kind == 3:
         return pick(["uuid", "id", "request", "trace_id"]) + pick(_JOINS) % "-".join(some(hexa, n) for n in (8, 4, 4, 4, 12)), None
     if kind == 4:
@@ -339,6 +339,9 @@ def make(rng: np.random.Generator) -> tuple[str, tuple[int, int] | None]:
         return "https://" + some(string.ascii_lowercase, 8) + ".com/" + some(alnum.lower(), int(rng.integers(4, 24))) + "/" + some(string.ascii_lowercase, 9), None
     if kind == 9:
         return pick(_NAMES) + pick([" is required", ": none", " = the", "s and ", ' = ""', ": required", " of the", " must not be shared"]), None
+    if kind == 10:  # junk of one word again and again
+        word = some(pick([string.ascii_lowercase, string.ascii_uppercase, string.ascii_lowercase + "éñüàßö", string.digits]), int(rng.integers(1, 12)))
+        return pick([" ", " ", "", ", "]).join([pick([word, word.capitalize()])] * int(rng.integers(3, 40))), None
     return pick(["maxRetryCountPerRequest", "handle_incoming_request_body", "MAX_BUFFER_SIZE_IN_BYTES", "Donaudampfschifffahrtsgesellschaft", "internationalization", "x86_64", "utf8mb4_general_ci", "2024-05-17T10:22:31Z"]), None
 
 
