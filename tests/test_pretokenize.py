@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.pretokenize import NAMED, pieces
-from weftline.functions.sql import split_in_python
+from weftline.functions.pretokenize import splitter
 
 GOLDEN = [
     ("gpt2", "Hello, world!", "Hello|,| world|!"), ("gpt2", "don'ts", "don|'t|s"), ("gpt2", "a   b", "a|  | b"), ("gpt2", "x ¹", "x| ¹"), ("gpt2", "\tword", "\t|word"),
@@ -35,7 +35,7 @@ def test_spark_and_python_agree(spark, sf_dir, name):
     rows = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()] + EDGES
     df = spark.createDataFrame([(t,) for t in rows], "t string").select("t", pieces(F.col("t"), name).alias("p"))
     for r in df.collect():
-        assert r.p == split_in_python(r.t, name), r.t[:40]
+        assert r.p == splitter(name)(r.t), r.t[:40]
 
 
 def test_null_and_behaviours(spark):

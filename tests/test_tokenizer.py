@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import datetime
+import random
 from dataclasses import replace
 
 import pytest
@@ -174,6 +176,50 @@ def test_flat_batch(spark):
     assert {r.k: r.start for r in with_starts(df, "k").collect()} == {"a": 0, "b": 1}
 
 
+def test_starts_of_any_keys(spark):
+    """Null, text, date, repeated and many keys against a running sum; null keys come first."""
+    rng = random.Random(4)
+    many = [(rng.randint(-50, 10**6), rng.randint(0, 9)) for _ in range(3000)] + [(7, 3)] * 40 + [(None, 5), (None, 2)]
+    for kind, rows_ in (
+        ("long", [(1, 5), (None, 7), (3, 2)]), ("string", [("b", 2), ("a", 1), (None, 4), ("", 3)]), ("date", [(datetime.date(2024, 1, k), k) for k in (3, 1, 2)]), ("long", many), ("long", []), ("double", [(0.5, 1), (-2.0, 3)]),
+    ):
+        df = spark.createDataFrame(rows_, f"key {kind}, n long").selectExpr("*", "1 as range", "2 as before", "3 as __range", "4 as hash")
+        got = with_starts(df, "key")
+        assert got.columns == [*df.columns, "start"]
+        own = sorted(((r.key is not None, r.key), r.start, r.n) for r in got.collect())
+        assert [k for (_, k), _, _ in own] == sorted((k for k, _ in rows_), key=lambda k: (k is not None, k))
+        at = 0
+        for _, start, n in sorted(own, key=lambda x: (x[0], x[1], x[2])):
+            assert start == at
+            at += n
+
+
+def test_starts_shuffle_the_rows_once(spark):
+    df = Tokenizer(BYTES).encode_batch_flat(rows(spark, ["ab", "cd"]), "k", "t")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final or final.count("ArrowEvalPython") == 1
+
+
+def test_one_call_for_single_and_pair(spark):
+    t = Tokenizer(BYTES)
+    df = spark.createDataFrame([(0, "ab", "c"), (1, "ab", None), (2, None, "c")], "k int, a string, b string")
+    got = values(df, t.encode_any(F.col("a"), F.col("b")))
+    pair, single = values(df, t.encode_pair(F.col("a"), F.col("b"))), values(df, t.encode(F.col("a")))
+    assert got[0] == pair[0] and got[1] == single[1] and got[2] is None
+    assert values(df, t.encode_any(F.col("a"))) == single
+
+
+def test_bytes_stream_and_adjacency(spark):
+    t = Tokenizer(toy_models.letters())
+    df = spark.createDataFrame([(1, bytearray(b"the\xff"), "x")], "pos0 int, content binary, valid0 string")
+    assert [(r.pos, t.spec.tokens[r.id]) for r in t.stream_bytes(df).orderBy("pos").collect()] == [(0, b"the"), (1, b"\xff")]
+    pairs = spark.createDataFrame([(116, 104, 1), (104, 116, 2), (None, 3, 3)], "left int, right int, rule int")
+    assert {r.rule: r.valid for r in t.adjacent(pairs).collect()} == {1: False, 2: True, 3: True}
+    assert not t.spec.is_valid_pair(116, 104) and t.spec.is_valid_pair(104, 116)
+
+
 def test_vocabulary(spark):
     t = Tokenizer(toy_models.letters())
     df = spark.createDataFrame([("the",), ("zzz",)], "token string")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,56 +23,151 @@ def _bytes_of(spec: ModelSpec) -> dict[int, bytes]:
     return {i: bytes([int(t[3:5], 16)]) if len(t) == 6 and t[:3] == b"<0x" and t[5:] == b">" else t for i, t in spec.tokens.items()}
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, row of each id, whether each row is null) of a column of id arrays; a null id is -1."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    null = np.asarray(column.is_null())
+    n = np.where(null, 0, np.diff(column.offsets.to_numpy()))
+    ids = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return ids, np.repeat(np.arange(len(column)), n), null
+
+
+class Pool:
+    """Tokens by id, as an Arrow array with a null at the end for unknown ids."""
+
+    def __init__(self, tokens: dict[int, bytes | str], kind: pa.DataType):
+        self.size = max(tokens, default=-1) + 1
+        table: list = [None] * (self.size + 1)
+        for i, t in tokens.items():
+            table[i] = t
+        self.values = pa.array(table, kind)
+        self.known = np.asarray(self.values.is_valid())
+
+    def take(self, ids: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """(the ids' tokens, whether each is known)."""
+        at = np.where((ids < 0) | (ids >= self.size), self.size, ids)
+        return self.values.take(pa.array(at)), self.known[at]
+
+
+@lru_cache(maxsize=8)
+def _pool(key: str, form: str) -> Pool:
+    return _pools[key](form)
+
+
+_pools: dict[str, object] = {}
+
+
+def pool(spec: ModelSpec, form: str) -> Pool:
+    """This process's pool of a model: ``bytes``, ``text``, or ``words`` with a space before each word's beginning."""
+
+    def make(form: str) -> Pool:
+        if form == "bytes":
+            return Pool(_bytes_of(spec), pa.binary())
+        text = {i: t.decode(errors="replace") for i, t in spec.tokens.items()}
+        if form == "words":
+            p = spec.continuing_prefix
+            text = {i: t[len(p) :] if t.startswith(p) else " " + t for i, t in text.items()}
+        return Pool(text, pa.string())
+
+    _pools[spec.key] = make
+    return _pool(spec.key, form)
+
+
+def _joined(values: pa.Array, row: np.ndarray, rows: int) -> pa.Array:
+    """The values of each row, one after the other."""
+    at = np.append(0, np.cumsum(np.bincount(row, minlength=rows)))
+    empty = pa.scalar(b"" if pa.types.is_binary(values.type) else "", values.type)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), values), empty)
+
+
+def _unless(column: pa.Array, null: np.ndarray) -> pa.Array:
+    return pc.if_else(pa.array(~null), column, None) if null.any() else column
+
+
+def bytes_array(column: pa.Array, spec: ModelSpec) -> pa.Array:
+    """The ids' bytes, one after the other; null if an id is unknown."""
+    ids, row, null = flat(column)
+    values, known = pool(spec, "bytes").take(ids)
+    bad = null | (np.bincount(row[~known], minlength=len(null)) > 0)
+    keep = ~bad[row]
+    if not keep.all():
+        values, row = values.filter(pa.array(keep)), row[keep]
+    return _unless(_joined(values, row, len(null)), bad)
+
+
 def decode_bytes(ids: Column, spec: ModelSpec) -> Column:
     """The ids' bytes, one after the other; null if an id is unknown."""
     shared = share(spec)
 
     @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
-        tokens = _bytes_of(shared.value)
-        out = []
-        for row in column.to_pylist():
-            got = None if row is None else [tokens.get(i) for i in row]
-            out.append(None if got is None or None in got else b"".join(got))
-        return pa.array(out, pa.binary())
+        return bytes_array(column, shared.value)
 
     return run(ids)
 
 
-def text_of(ids: list[int], spec: ModelSpec, tokens: dict[int, bytes], skip: frozenset[int]) -> str | None:
-    """One text; null if an id is unknown or its bytes aren't UTF-8."""
-    got = [tokens.get(i) for i in ids if i not in skip]
-    if None in got:
-        return None
+def _as_text(raw: pa.Array) -> pa.Array:
+    """UTF-8 bytes as text; null where they aren't valid."""
     try:
-        if spec.decoder == "byte_level":
-            out = b"".join(got)
-            return (out.replace(spec.word_end.encode(), b" ").rstrip(b" ") if spec.word_end else out).decode()
-        if spec.decoder == "wordpiece":
-            words, out = [t.decode() for t in got], ""
-            for w in words:
-                out += w[len(spec.continuing_prefix) :] if w.startswith(spec.continuing_prefix) else (" " if out else "") + w
-            return out
-        text = b"".join(got).decode() if spec.byte_fallback else "".join(t.decode() for t in got)
-    except UnicodeDecodeError:
-        return None
-    return text.replace(MARK, " ").removeprefix(" ")
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+
+        def one(x: bytes | None) -> str | None:
+            try:
+                return x if x is None else x.decode()
+            except UnicodeDecodeError:
+                return None
+
+        return pa.array([one(x) for x in raw.to_pylist()], pa.string())
+
+
+def text_array(column: pa.Array, spec: ModelSpec, skip: frozenset[int]) -> pa.Array:
+    """The rows' texts; null if an id is unknown or the bytes aren't UTF-8."""
+    ids, row, null = flat(column)
+    if skip:
+        keep = ~np.isin(ids, np.fromiter(skip, np.int64))
+        ids, row = ids[keep], row[keep]
+    form = "words" if spec.decoder == "wordpiece" else "bytes" if spec.decoder == "byte_level" or spec.byte_fallback else "text"
+    values, known = pool(spec, form).take(ids)
+    bad = null | (np.bincount(row[~known], minlength=len(null)) > 0)
+    if bad.any():
+        keep = ~bad[row]
+        values, row, ids = values.filter(pa.array(keep)), row[keep], ids[keep]
+    out = _joined(values, row, len(null))
+    if spec.decoder == "byte_level":
+        if spec.word_end:
+            out = pc.binary_join_element_wise(out, b"", b"")
+            out = pc.replace_substring(_as_text(out), spec.word_end, " ")
+            out = pc.utf8_rtrim(out, " ")
+        else:
+            out = _as_text(out)
+        return _unless(out, bad)
+    if form == "bytes":
+        out = _as_text(out)
+    if spec.decoder != "wordpiece":
+        out = pc.replace_substring(out, MARK, " ")
+    # the space before the first word goes
+    return _unless(pc.if_else(pc.starts_with(out, " "), pc.utf8_slice_codeunits(out, 1), out), bad)
+
+
+def skipped(spec: ModelSpec, skip_special_tokens: bool | None = None) -> frozenset[int]:
+    """The ids that decoding leaves out.
+
+    By default those of the template, but none by byte-level models; True leaves
+    out all special tokens, False none.
+    """
+    if skip_special_tokens is None:
+        return frozenset(spec.template.specials) if spec.decoder != "byte_level" else frozenset()
+    return frozenset(spec.template.specials) | {t.id for t in spec.added if t.special} if skip_special_tokens else frozenset()
 
 
 def decode(ids: Column, spec: ModelSpec, skip_special_tokens: bool | None = None) -> Column:
-    """The text of an id array.
-
-    By default the template's ids are left out, but not by byte-level models; True
-    leaves out all special tokens, False none.
-    """
-    shared = share(spec)
-    specials = frozenset(spec.template.specials) if skip_special_tokens is None and spec.decoder != "byte_level" else frozenset(spec.template.specials) | {t.id for t in spec.added if t.special} if skip_special_tokens else frozenset()
+    """The text of an id array, without the ids that ``skipped`` tells."""
+    shared, skip = share(spec), skipped(spec, skip_special_tokens)
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        own = shared.value
-        tokens = _bytes_of(own)
-        return pa.array([None if row is None else text_of(row, own, tokens, specials) for row in column.to_pylist()], pa.string())
+        return text_array(column, shared.value, skip)
 
     return run(ids)
 
@@ -80,16 +178,8 @@ def token_strings(ids: Column, spec: ModelSpec) -> Column:
 
     @F.arrow_udf("array<string>")
     def run(column: pa.Array) -> pa.Array:
-        own = shared.value.tokens
-        size = max(own, default=0) + 2
-        table = np.full(size, None, object)
-        for i, t in own.items():
-            table[i] = t.decode(errors="replace")
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        flat = column.flatten().fill_null(size - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = np.where((flat < 0) | (flat >= size), size - 1, flat)
-        null = np.asarray(column.is_null())
-        n = np.where(null, 0, np.diff(column.offsets.to_numpy()))
-        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(table[flat], pa.string()), mask=pa.array(null))
+        own, row, null = flat(column)
+        at = np.append(0, np.cumsum(np.bincount(row, minlength=len(null))))
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pool(shared.value, "text").take(own)[0], mask=pa.array(null))
 
     return run(ids)

@@ -16,6 +16,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -202,6 +203,23 @@ def normalize(c: Column, steps: tuple[tuple, ...]) -> Column:
     spark = SparkSession.active()
     reach(spark)
 
+    from ..operators import chunks
+
+    if chunks.local_steps(steps):
+
+        @F.arrow_udf("string")
+        def by_chunks(texts: pa.Array) -> pa.Array:
+            def make():
+                first, later = normalizer(steps), normalizer(chunks.later(steps))
+                return chunks.Texts(lambda t, leads, _: [first(t, True) if leads else later(t, False)])
+
+            parts, bounds = chunks.kept(("normalize", steps), make).texts(texts)
+            values = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+            rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values), "")
+            return pc.if_else(texts.is_valid(), rows, None) if texts.null_count else rows
+
+        return by_chunks(c)
+
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         f = normalizer(steps)

@@ -9,6 +9,8 @@ Null stays null; an empty text has no pieces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ NAMED: dict[str, tuple[tuple[str, str], ...]] = {
     "smollm": ((r"\p{N}", "isolated"), (_GPT2, "matches")),
     "deepseek": (
         (r"\p{N}{1,3}", "isolated"), ("[一-龥぀-ゟ゠-ヿ]+", "isolated"),
-        (_any(r"[!-/:-@\[-`{-~][A-Za-z]+", r"[^\r\n\p{L}\p{P}\p{S}]?" + r"[\p{L}\p{M}]+", r" ?[\p{P}\p{S}]+" + r"[\r\n]*", *_BREAK), "isolated"),
+        (_any(r"[!-/:-@\[-`{-~][A-Za-z]+", r"[^\r\n\p{L}\p{P}\p{S}]?[\p{L}\p{M}]+", r" ?[\p{P}\p{S}]+[\r\n]*", *_BREAK), "isolated"),
     ),
     "qwen": ((_cl100k(r"\p{N}", r"\p{L}\p{M}"), "matches"),),
     "bert": ((rf"[{_CJK}]|[{_PUNCT}]|[^\s{_PUNCT}{_CJK}]+", "matches"),),
@@ -56,6 +58,12 @@ NAMED: dict[str, tuple[tuple[str, str], ...]] = {
     "units": (("▁*[^▁]+|▁+", "matches"),),
 }
 
+#: The same patterns as public model files spell them.
+KNOWN = frozenset(
+    f"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\\r\\n\\p{{L}}\\p{{N}}]?{letters}+|{digits}| ?[^\\s{rest}]+[\\r\\n]*|\\s*[\\r\\n]+|\\s+(?!\\S)|\\s+"
+    for letters, rest in ((r"\p{L}", r"\p{L}\p{N}"), (r"[\p{L}\p{M}]", r"\p{L}\p{M}\p{N}")) for digits in (r"\p{N}", r"\p{N}{1,3}")
+) | {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
+
 
 def java(pattern: str, behaviour: str) -> str:
     gap = f"(?:(?!{pattern}).)"
@@ -82,3 +90,24 @@ def pieces(c: Column, pretokenizer: str | tuple | None) -> Column:
     for stage in own[1:]:
         out = F.flatten(F.transform(out, _split(java(*stage))))
     return out
+
+
+def splitter(pretokenizer: str | tuple | None) -> Callable[[str], list[str]]:
+    """The same pieces of a text outside Spark."""
+    import regex
+
+    def python(stage: tuple[str, str]):
+        pattern = java(*stage).replace("(?U)", "").replace("(?Us)", "(?s)")
+        return regex.compile(regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), pattern))
+
+    own = [python(s) for s in stages(pretokenizer)]
+    if len(own) == 1:
+        return own[0].findall
+
+    def run(text: str) -> list[str]:
+        parts = [text] if text else []
+        for p in own:
+            parts = [x for part in parts for x in p.findall(part)]
+        return parts
+
+    return run

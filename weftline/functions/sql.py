@@ -2,92 +2,58 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import encode as E
-from ..operators.tokenizer import Tokenizer
 from ..spec import ModelSpec
-from .decode import _bytes_of, text_of
-from .normalize import normalizer
-from .pretokenize import java, stages
-
-
-def split_in_python(text: str, how) -> list[str]:
-    """Pieces by the ``regex`` module; the same patterns as Spark's."""
-    import regex
-
-    parts = [text] if text else []
-    for stage in stages(how):
-        pattern = regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), java(*stage).replace("(?U)", "").replace("(?Us)", "(?s)"))
-        parts = [m[0] for p in parts for m in regex.finditer(pattern, p)]
-    return parts
+from .decode import skipped, text_array
 
 
 def register(spark: SparkSession, spec: ModelSpec, prefix: str = "tok") -> None:
-    """``tok_encode_ids(text)``, ``tok_count(text)``, ``tok_decode(ids)``, ``tok_pieces(text)`` and the table function ``tok_tokens(text)``.
+    """``tok_encode_ids(text)``, ``tok_count(text)``, ``tok_decode(ids)``, ``tok_pieces(text)`` and the table function ``tok_tokens(text)``: (pos, id, token, start, end), with byte ranges in the normalized text.
 
-    In SQL the whole of a function runs in Python, in Arrow batches; from the
-    DataFrame API, the columns of ``Tokenizer`` leave more to Spark.
+    In SQL the whole of a function runs in Python, on Arrow batches and by
+    distinct chunks where the model allows it.
     """
     shared = E.share(spec)
 
-    def prepared(text: str) -> list[tuple[int | None, str]]:
-        own = shared.value
-        how, out = E.stages_of(own), []
-        for i, part in E.segments(text, own, normalizer(own.normalizer)):
-            if i is not None:
-                out.append((i, part))
-                continue
-            if own.add_prefix_space and not part[0].isspace():
-                part = " " + part
-            out += [(None, p) for p in split_in_python(part, how)]
-        return out
-
-    def ids_of(text: str | None) -> list[tuple[int, str]] | None:
-        if text is None:
-            return None
-        encode, out = E.worker(shared), []
-        for i, piece in prepared(text):
-            got = [(i, 0)] if i is not None else encode(piece.encode())
-            if got is None:
-                return None
-            out += [(k, piece) for k, _ in got if not (E.collapses(encode.spec) and out and k == encode.spec.unk_id == out[-1][0])]
-        return out
-
     @F.arrow_udf("array<int>")
     def encode_ids(texts: pa.Array) -> pa.Array:
+        ids, _, bounds, null = E.text_lists(shared, texts)
         t = shared.value.template
-        rows = map(ids_of, texts.to_pylist())
-        return pa.array([None if r is None else [*t.single_prefix, *(i for i, _ in r), *t.single_suffix] for r in rows], pa.list_(pa.int32()))
+        if t.added():
+            n = np.where(null, 0, np.diff(bounds))
+            keep = ~np.repeat(null, np.diff(bounds))
+            ids, bounds = ids[keep], np.append(0, np.cumsum(n))
+            k = int((~null).sum())
+            first, last = bounds[:-1][~null], bounds[1:][~null]
+            ids = np.insert(ids, np.append(np.repeat(first, len(t.single_prefix)), np.repeat(last, len(t.single_suffix))), np.append(np.tile(t.single_prefix, k), np.tile(t.single_suffix, k)))
+            bounds = np.append(0, np.cumsum(np.where(null, 0, n + t.added())))
+        return E._list_array(pa.array(ids, pa.int32()), bounds, null)
 
     @F.arrow_udf("int")
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array([None if r is None else len(r) for r in map(ids_of, texts.to_pylist())], pa.int32())
+        return E.text_counts(shared, texts)
 
     @F.arrow_udf("array<string>")
     def pieces(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else [p for _, p in prepared(t)] for t in texts.to_pylist()], pa.list_(pa.string()))
+        parts = E.prepared(shared.value)
+        return pa.array([None if t is None else [p for _, p in parts(t)] for t in texts.to_pylist()], pa.list_(pa.string()))
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         own = shared.value
-        skip = frozenset(own.template.specials) if own.decoder != "byte_level" else frozenset()
-        tokens = _bytes_of(own)
-        return pa.array([None if r is None else text_of(r, own, tokens, skip) for r in ids.to_pylist()], pa.string())
+        return text_array(ids, own, skipped(own))
 
-    @F.udtf(returnType="pos int, id int, token string")
+    @F.udtf(returnType="pos int, id int, token string, start int, end int")
     class Tokens:
         def eval(self, text: str):
-            tokens = shared.value.tokens
-            for pos, (i, _) in enumerate(ids_of(text) or []):
-                yield pos, i, tokens[i].decode(errors="replace")
+            for pos, (i, a, b) in enumerate(E.spans_of_text(shared, text) if text is not None else []):
+                yield pos, i, shared.value.tokens[i].decode(errors="replace"), a, b
 
     for name, f in (("encode_ids", encode_ids), ("count", count), ("pieces", pieces), ("decode", decode)):
         spark.udf.register(f"{prefix}_{name}", f)
     spark.udtf.register(f"{prefix}_tokens", Tokens)
-
-
-def tokenizer(spec: ModelSpec) -> Tokenizer:
-    return Tokenizer(spec)

@@ -1,15 +1,18 @@
-"""Text columns to id columns: pieces by native expressions, ids by one Arrow function over each batch's distinct pieces.
-
-A worker keeps the ids of the pieces that it has seen (``MEMO`` at most), so the
-loop over a piece's bytes runs about once for each distinct piece; all else is
-numpy on the batch's flat arrays.  There is no shuffle, and the same columns serve
-batch and streaming.  ``plans.dedup`` is the other plan, by joins.
+"""Text columns to id columns by one Arrow function.
+
+Where a model's stages allow it, texts go to Python as they are, and each
+distinct chunk of a text is normalized, split and encoded once by a worker
+(``operators.chunks``).  Else pieces are made by native expressions, and each
+batch's distinct pieces are encoded.  A worker keeps the ids of the pieces that it
+has seen (``MEMO`` bytes of them at most).  There is no shuffle, and the same columns
+serve batch and streaming.  ``plans.dedup`` is the other plan, by joins.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,25 +21,35 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions.pretokenize import pieces as native_pieces
+from ..functions.pretokenize import splitter
 from ..spec import ModelSpec
 from ..workers import reach
+from . import chunks
 from .cores import core, splits_at_marks
 
-MEMO = 1 << 20
+#: Bytes of pieces, with 64 for each, that a worker keeps; longer pieces than a 64th of it aren't kept.
+MEMO = 1 << 27
 
 
 class Worker:
     """A model's encoder with its memo."""
 
     def __init__(self, spec: ModelSpec):
-        self.spec, self.run, self.memo = spec, core(spec), {}
+        self.spec, self.run, self.memo, self.size = spec, core(spec), {}, 0
 
-    def __call__(self, piece: bytes):
+    def __call__(self, piece: bytes) -> tuple[list[int], list[int]] | None:
+        """The piece's ids and their sizes in bytes."""
         got = self.memo.get(piece, False)
         if got is False:
-            if len(self.memo) >= MEMO:
+            pairs = self.run(piece)
+            got = pairs if pairs is None else ([i for i, _ in pairs], [n for _, n in pairs])
+            if len(piece) * 64 > MEMO:
+                return got
+            self.size += len(piece) + 64
+            if self.size > MEMO:
                 self.memo.clear()
-            got = self.memo[piece] = self.run(piece)
+                self.size = len(piece) + 64
+            self.memo[piece] = got
         return got
 
 
@@ -91,7 +104,7 @@ def _tables(encode: Worker, values: pa.Array) -> tuple[np.ndarray, list]:
             ids = given.take(pa.array(own)).to_numpy()
             one, back = np.unique(ids, return_inverse=True)
             code[own] = len(table) + back
-            table += [[(int(i), len(encode.spec.tokens.get(int(i), b"")))] for i in one]
+            table += [([int(i)], [len(encode.spec.tokens.get(int(i), b""))]) for i in one]
     return code, table
 
 
@@ -102,10 +115,10 @@ def _lists(encode: Worker, column: pa.Array):
         return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(len(column) + 1, np.int64), null, np.zeros(1, np.int64)
     code, table = _tables(encode, values)
     bad = np.array([t is None for t in table], bool)
-    table = [t or [] for t in table]
-    count = np.array([len(t) for t in table], np.int64)
-    ids = np.fromiter((i for t in table for i, _ in t), np.int32, int(count.sum()))
-    sizes = np.fromiter((s for t in table for _, s in t), np.int64, int(count.sum()))
+    table = [t or ([], []) for t in table]
+    count = np.array([len(t[0]) for t in table], np.int64)
+    ids = np.fromiter(chain.from_iterable(t[0] for t in table), np.int32, int(count.sum()))
+    sizes = np.fromiter(chain.from_iterable(t[1] for t in table), np.int64, int(count.sum()))
     first = np.cumsum(count) - count
     n = count[code]
     ends = np.append(0, np.cumsum(n))
@@ -290,3 +303,152 @@ def pieces(c: Column, spec: ModelSpec) -> Column:
         return F.when(s["id"].isNotNull(), F.array(F.struct(F.lit("").alias("text"), s["id"].alias("id")))).otherwise(own)
 
     return F.flatten(F.transform(segment_column(c, spec), part))
+
+
+# whole texts
+
+
+def by_chunks(spec: ModelSpec) -> bool:
+    """Whether texts may be worked on by chunks: nothing looks across a cut, and added tokens are looked for in the texts as they are."""
+    return chunks.cuts_at_spaces(spec.normalizer, stages_of(spec)) and (not spec.normalizer or not any(t.normalized for t in spec.added))
+
+
+#: White space by Unicode's property, as Spark's expressions take it.
+_BLANKS = frozenset("\t\n\x0b\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
+
+
+def _led(text: str, spec: ModelSpec) -> str:
+    return " " + text if spec.add_prefix_space and text and text[0] not in _BLANKS else text
+
+
+def prepared(spec: ModelSpec):
+    """A function of a whole text to its (id, piece) parts: an added token has an id."""
+    norm, split = N.normalizer(spec.normalizer), splitter(stages_of(spec))
+
+    def run(text: str):
+        for i, part in segments(text, spec, norm) if spec.added else [(None, norm(text, True))]:
+            if i is not None:
+                yield i, part
+            else:
+                for p in split(_led(part, spec)):
+                    yield None, p
+
+    return run
+
+
+def _encoding_chunks(encode: Worker) -> chunks.Chunks:
+    spec = encode.spec
+    cut = by_chunks(spec)
+    first, later, split, parts = N.normalizer(spec.normalizer), N.normalizer(chunks.later(spec.normalizer)), splitter(stages_of(spec)), prepared(spec)
+
+    def joined(got: list):
+        if len(got) == 1:
+            return got[0]
+        return None if None in got else (list(chain.from_iterable(x for x, _ in got)), list(chain.from_iterable(y for _, y in got)))
+
+    def work(text: str, leads: bool, whole: bool):
+        if whole:
+            return joined([encode(piece.encode()) if i is None else ([i], [len(spec.tokens.get(i, b""))]) for i, piece in parts(text)])
+        return joined([encode(piece.encode()) for piece in split(_led(first(text, True), spec) if leads else later(text, False))])
+
+    if not cut:
+        return chunks.Chunks(work, lambda raw: True)
+    found = re.compile(b"|".join(re.escape(t.content.encode()) for t in spec.added if t.content)).search if any(t.content for t in spec.added) else None
+    return chunks.Chunks(work, found)
+
+
+def text_lists(shared, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, sizes, bounds by row, null rows) of a column of texts."""
+    encode = worker(shared)
+    ids, sizes, bounds, bad = chunks.kept(("encode", encode.spec.key), lambda: _encoding_chunks(encode)).lists(texts)
+    null = np.asarray(texts.is_null()) | bad
+    if collapses(encode.spec) and len(ids):
+        keep = _without_repeated_unknowns(ids, bounds, encode.spec.unk_id)
+        bounds = np.append(0, np.cumsum(keep))[bounds]
+        ids, sizes = ids[keep], sizes[keep]
+    return ids, sizes, bounds, null
+
+
+def text_counts(shared, texts: pa.Array) -> pa.Array:
+    encode = worker(shared)
+    if collapses(encode.spec):
+        _, _, bounds, null = text_lists(shared, texts)
+        return pa.array(np.diff(bounds).astype(np.int32), mask=null)
+    n, bad = chunks.kept(("encode", encode.spec.key), lambda: _encoding_chunks(encode)).counts(texts)
+    return pa.array(n.astype(np.int32), mask=np.asarray(texts.is_null()) | bad)
+
+
+def ids_of_text(c: Column, spec: ModelSpec) -> Column:
+    """A text column as an array of ids."""
+    if not by_chunks(spec):
+        return ids_of_pieces(pieces(c, spec), spec)
+    shared = share(spec)
+
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        ids, _, bounds, null = text_lists(shared, texts)
+        if null.any():  # a null row has no ids
+            keep = ~np.repeat(null, np.diff(bounds))
+            ids, bounds = ids[keep], np.append(0, np.cumsum(np.where(null, 0, np.diff(bounds))))
+        return _list_array(pa.array(ids, pa.int32()), bounds, null)
+
+    return run(c)
+
+
+def count_of_text(c: Column, spec: ModelSpec) -> Column:
+    """The number of ids of a text column."""
+    if not by_chunks(spec):
+        return count_of_pieces(pieces(c, spec), spec)
+    shared = share(spec)
+
+    @F.arrow_udf("int")
+    def run(texts: pa.Array) -> pa.Array:
+        return text_counts(shared, texts)
+
+    return run(c)
+
+
+def split_text(c: Column, how: str | tuple | None) -> Column:
+    """The pieces of a text column, by chunks where the pretokenizer allows it."""
+    if not chunks.cuts_at_spaces((), how):
+        return native_pieces(c, how)
+    reach(SparkSession.active())
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        def make():
+            split = splitter(how)
+            return chunks.Texts(lambda t, leads, whole: split(t))
+
+        parts, bounds = chunks.kept(("split", how), make).texts(texts)
+        null = np.asarray(texts.is_null())
+        return _list_array(pa.concat_arrays(parts) if parts else pa.array([], pa.string()), bounds, null)
+
+    return run(c)
+
+
+def spans_of_text(shared, text: str) -> list[tuple[int, int, int]]:
+    """(id, start, end) of one text's ids, with byte ranges in the normalized text; none if it can't be encoded."""
+    encode = worker(shared)
+    spec = encode.spec
+    out: list[tuple[int, int, int]] = []
+    norm, split, at = N.normalizer(spec.normalizer), splitter(stages_of(spec)), 0
+    for i, part in segments(text, spec, norm) if spec.added else [(None, norm(text, True))]:
+        part = part if i is not None else _led(part, spec)
+        raw, inside = part.encode(), 0
+        for piece in [part] if i is not None else split(part):
+            own = piece.encode()
+            inside = max(inside, raw.find(own, inside))
+            got = ([i], [len(own)]) if i is not None else encode(own)
+            if got is None:
+                return []
+            a = at + inside
+            for k, size in zip(*got):
+                if collapses(spec) and out and k == spec.unk_id == out[-1][0]:
+                    out[-1] = (k, out[-1][1], a + size)
+                else:
+                    out.append((k, a, a + size))
+                a += size
+            inside += len(own)
+        at += len(raw)
+    return out

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, decode
-from ..sources.documents import read_documents
+from ..names import fresh
+from ..sources.documents import read_documents, scan_documents
 from ..spec import ModelSpec, Padding
 from . import encode as E
 
@@ -30,7 +33,7 @@ class Tokenizer:
 
     def raw_ids(self, text: Column) -> Column:
         """Ids without specials or truncation."""
-        return E.ids_of_pieces(self.pieces(text), self.spec)
+        return E.ids_of_text(text, self.spec)
 
     # documents
 
@@ -78,8 +81,8 @@ class Tokenizer:
         @F.arrow_udf("array<int>")
         def run(column: pa.Array) -> pa.Array:
             encode = E.worker(shared)
-            got = [None if x is None else encode(x) if x else [] for x in column.to_pylist()]
-            return pa.array([None if g is None else [i for i, _ in g] for g in got], pa.list_(pa.int32()))
+            got = [None if x is None else encode(x) if x else ([], []) for x in column.to_pylist()]
+            return pa.array([None if g is None else g[0] for g in got], pa.list_(pa.int32()))
 
         return run(data)
 
@@ -87,7 +90,7 @@ class Tokenizer:
 
     def count_tokens(self, text: Column) -> Column:
         """Without specials or truncation."""
-        return E.count_of_pieces(self.pieces(text), self.spec)
+        return E.count_of_text(text, self.spec)
 
     def exceeds(self, text: Column, limit: int) -> Column:
         """Whether a text has more than ``limit`` ids."""
@@ -124,56 +127,90 @@ class Tokenizer:
 
     def token_to_id(self, df: DataFrame, token: str = "token", out: str = "id") -> DataFrame:
         """``df`` with the id of its token column, the highest of tokens that look alike, or null."""
-        known = self.vocab().groupBy("token_str").agg(F.max("id").alias(out))
-        return df.join(F.broadcast(known), df[token] == known["token_str"], "left").drop("token_str")
+        (key,) = fresh(df, "token_str")
+        known = self.vocab().groupBy(F.col("token_str").alias(key)).agg(F.max("id").alias(out))
+        return df.join(F.broadcast(known), F.col(f"`{token}`") == F.col(key), "left").drop(key)
 
     def id_to_token(self, df: DataFrame, ids: str = "id", out: str = "token_str") -> DataFrame:
         """``df`` with the token of its id column, or null."""
-        known = self.vocab().select(F.col("id").alias("__id"), F.col("token_str").alias(out))
-        return df.join(F.broadcast(known), df[ids] == F.col("__id"), "left").drop("__id")
+        (key,) = fresh(df, "known")
+        known = self.vocab().select(F.col("id").alias(key), F.col("token_str").alias(out))
+        return df.join(F.broadcast(known), F.col(f"`{ids}`") == F.col(key), "left").drop(key)
+
+    def adjacent(self, df: DataFrame, left: str = "left", right: str = "right", out: str = "valid") -> DataFrame:
+        """``df`` with whether two ids may stand side by side: no merge rule joins them."""
+        a, b, rule = fresh(df, "a", "b", "rule")
+        rules = self.merges().select(F.col("left").alias(a), F.col("right").alias(b), F.lit(True).alias(rule)).distinct()
+        joined = df.join(F.broadcast(rules), (F.col(f"`{left}`") == F.col(a)) & (F.col(f"`{right}`") == F.col(b)), "left")
+        return joined.withColumn(out, F.col(rule).isNull()).drop(a, b, rule)
 
     # tables
 
     def encode_batch(self, df: DataFrame, text: str = "text", out: str = "encoding", add_special_tokens: bool = True, batch: Sequence[str] = ()) -> DataFrame:
         """``df`` with encodings, padded to the longest of all, or of each group of the columns ``batch``.
 
-        The longest of all is one aggregate of the lengths, joined back as one row.
+        The longest is an aggregate of the texts' counts, for which no ids are made,
+        joined back as one row, or one for each group.
         """
-        p = self.spec.padding
-        done = df.withColumn(out, arrays.encoding(self.encode_ids(F.col(text), add_special_tokens)))
+        p, t = self.spec.padding, self.spec.template
+        done = df.withColumn(out, arrays.encoding(self.encode_ids(F.col(f"`{text}`"), add_special_tokens)))
         if not p:
             return done
-        size = F.size(F.col(out)["ids"])
         if p.length is not None:
             return done.withColumn(out, arrays.pad_encoding(F.col(out), p, arrays.rounded(F.lit(p.length), p.pad_to_multiple_of)))
+        (target,) = fresh(done, "target")
+        more = t.added() if add_special_tokens else 0
+        n = self.count_tokens(F.col(f"`{text}`"))
+        if self.spec.truncation:
+            n = F.least(n, F.lit(max(0, self.spec.truncation.max_length - more)))
         if batch:
-            done = done.withColumn("__target", F.max(size).over(Window.partitionBy(*batch)))
+            keys = fresh(done, *(f"by_{k}" for k in range(len(batch))))
+            longest = df.groupBy(*[F.col(f"`{c}`").alias(k) for c, k in zip(batch, keys)]).agg(F.max(n + more).alias(target))
+            same = [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in zip(batch, keys)]
+            done = done.join(longest, reduce(and_, same), "left").drop(*keys)
         else:
-            done = done.crossJoin(F.broadcast(done.agg(F.max(size).alias("__target"))))
-        return done.withColumn(out, arrays.pad_encoding(F.col(out), p, arrays.rounded(F.col("__target"), p.pad_to_multiple_of))).drop("__target")
+            done = done.crossJoin(F.broadcast(df.agg(F.max(n + more).alias(target))))
+        return done.withColumn(out, arrays.pad_encoding(F.col(out), p, arrays.rounded(F.col(target), p.pad_to_multiple_of))).drop(target)
 
     def encode_batch_flat(self, df: DataFrame, key: str, text: str = "text", add_special_tokens: bool = True) -> DataFrame:
         """(key, ids, n, start): with the place of each row's ids if all rows' ids lie in a row, by key.
 
-        The places come from lengths alone: of ranges of keys first, then inside each
-        range, so that no task sees all rows.
+        Rows with a null key come first; those of one key lie in the order of
+        their ids' hashes.  A null text has null ids, and n 0.
         """
-        done = df.select(F.col(key), self.encode_ids(F.col(text), add_special_tokens).alias("ids")).withColumn("n", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint"))
-        return with_starts(done, key)
+        done = df.select(F.col(f"`{key}`"), self.encode_ids(F.col(f"`{text}`"), add_special_tokens).alias("ids")).withColumn("n", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint"))
+        return with_starts(done, key, tie="ids")
 
     def encode_files(self, spark: SparkSession, paths, separator: str = "<|endoftext|>", add_special_tokens: bool = False) -> DataFrame:
-        """(path, doc_pos, ids) of the documents in files."""
+        """(path, doc_pos, ids) of the documents in files, each file read by one task."""
         return read_documents(spark, paths, separator).select("path", "doc_pos", self.encode_ids(F.col("text"), add_special_tokens).alias("ids"))
 
+    def encode_files_flat(self, spark: SparkSession, paths, separator: str = "<|endoftext|>", add_special_tokens: bool = False) -> DataFrame:
+        """(path, doc_pos, ids, n, start): with the place of each document's ids among those of all files, in the order of their paths."""
+        done = self.encode_files(spark, paths, separator, add_special_tokens)
+        return with_starts(done.select(F.struct("path", "doc_pos").alias("key"), "ids", F.size("ids").cast("bigint").alias("n")), "key").select("key.path", "key.doc_pos", "ids", "n", "start")
+
     def count_tokens_files(self, spark: SparkSession, paths, separator: str = "<|endoftext|>") -> DataFrame:
-        """One row: the number of documents and tokens in files."""
-        n = read_documents(spark, paths, separator).select(self.count_tokens(F.col("text")).alias("n"))
+        """One row: the number of documents and tokens in files; with a separator, files are split among tasks."""
+        read = scan_documents if separator else read_documents
+        n = read(spark, paths, separator).select(self.count_tokens(F.col("text")).alias("n"))
         return n.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
 
     def stream_tokens(self, df: DataFrame, text: str = "text", add_special_tokens: bool = False) -> DataFrame:
         """A row for each id: the columns of ``df`` but the text, pos and id."""
         kept = [F.col(f"`{c}`") for c in df.columns if c != text]
-        return df.select(*kept, F.posexplode(self.encode_ids(F.col(text), add_special_tokens)).alias("pos", "id"))
+        return df.select(*kept, F.posexplode(self.encode_ids(F.col(f"`{text}`"), add_special_tokens)).alias("pos", "id"))
+
+    def stream_bytes(self, df: DataFrame, data: str = "content") -> DataFrame:
+        """A row for each id of raw bytes: the columns of ``df`` but the bytes, pos and id."""
+        kept = [F.col(f"`{c}`") for c in df.columns if c != data]
+        return df.select(*kept, F.posexplode(self.encode_bytes(F.col(f"`{data}`"))).alias("pos", "id"))
+
+    def encode_any(self, text: Column, pair: Column | None = None, add_special_tokens: bool = True) -> Column:
+        """The encoding of one text, or of two as a pair; where the second is null, of the first alone."""
+        if pair is None:
+            return self.encode(text, add_special_tokens)
+        return F.when(pair.isNull(), self.encode(text, add_special_tokens)).otherwise(self.encode_pair(text, pair, add_special_tokens))
 
     def with_padding(self, padding: Padding | None = None, **options) -> Tokenizer:
         return Tokenizer(self.spec.with_padding(padding, **options))
@@ -182,13 +219,24 @@ class Tokenizer:
         return Tokenizer(self.spec.with_truncation(truncation, **options))
 
 
-def with_starts(df: DataFrame, key: str, ranges: int = 64) -> DataFrame:
-    """``df`` (with ``n``) and ``start``, the sum of n over smaller keys."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None or isinstance(low, str):
-        return df.withColumn("start", F.sum("n").over(Window.orderBy(key)) - F.col("n"))
-    width = max(1, (int(high) - int(low)) // ranges + 1)
-    df = df.withColumn("__range", ((F.col(key) - F.lit(int(low))) / width).cast("int"))
-    before = df.groupBy("__range").agg(F.sum("n").alias("__n")).select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
-    own = F.sum("n").over(Window.partitionBy("__range").orderBy(key)) - F.col("n")
-    return df.withColumn("start", own).join(F.broadcast(before), "__range").withColumn("start", F.col("start") + F.col("__before")).drop("__range", "__before")
+def with_starts(df: DataFrame, key: str, tie: str | None = None, ranges: int = 64) -> DataFrame:
+    """``df`` (with ``n``) and ``start``, the sum of n over the rows before, by key; null keys come first.
+
+    Any type that can be ordered will do.  Keys are put in ``ranges`` between bounds
+    drawn from keys of the least hashes; sums of ranges come first, then those
+    inside each range, so no task sees all rows.  Rows of one key are in one
+    range, in the order of the hash of ``tie`` if given; keys are thought to be
+    mostly distinct.
+    """
+    where, before, hashed = fresh(df, "range", "before", "hash")
+    k = F.col(f"`{key}`")
+    drawn = df.select(k.alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k")).limit(ranges * 32).agg(F.array_sort(F.collect_list("k")).alias("all"))
+    bounds = drawn.select(F.expr(f"filter(all, (x, i) -> i % 32 = 31)").alias(before))
+    placed = df.crossJoin(F.broadcast(bounds)).withColumn(where, F.when(k.isNull(), -1).otherwise(F.size(F.filter(before, lambda x: x <= k)))).drop(before)
+    placed = placed.withColumn(hashed, F.xxhash64(F.col(tie)) if tie else F.lit(0).cast("bigint")).repartition(F.col(where))
+    # the same columns are read on both sides, so that the rows are made and shuffled once
+    sums = placed.groupBy(where).agg(F.sum("n").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(placed.columns) if c not in ("n", where)])
+    sums = sums.select(F.col(where).alias(hashed), (F.sum("n").over(Window.orderBy(where)) - F.col("n")).alias(before))
+    own = F.sum("n").over(Window.partitionBy(where).orderBy(k, hashed).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    done = placed.withColumn("start", own).drop(hashed)
+    return done.join(F.broadcast(sums), F.col(where) == F.col(hashed)).withColumn("start", F.col("start") + F.col(before)).drop(where, before, hashed)

@@ -1,9 +1,8 @@
 """Encoding by distinct pieces: each is encoded once in the whole cluster, and joined back.
 
 For models whose pieces cost much (Unigram, long merges) on corpora whose pieces
-repeat.  Pieces that are a token are found by a join with the vocabulary where
-that is exact; only the others reach Python.  Counts need no reassembly.  The
-row-local plan of ``operators.encode`` gives the same ids without a shuffle.
+repeat.  Counts need no reassembly.  The row-local plan of ``operators.encode``
+gives the same ids without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,10 +13,6 @@ from pyspark.sql import functions as F
 from ..operators import encode as E
 from ..spec import ModelSpec
 
-#: A table of pieces of at most so many rows is broadcast.
-BROADCAST_ROWS = 500_000
-
-
 def _exploded(df: DataFrame, spec: ModelSpec, key: str, text: str) -> DataFrame:
     if spec.added:
         raise ValueError("pieces with added tokens go by the row-local plan")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from . import toy_models
 from .functions import arrays, normalize, pretokenize
-from .operators import diff
+from .operators import diff, encode
 from .operators.tokenizer import Tokenizer
 from .plans import dedup
+from .sources.documents import spread
 from .spec import ModelSpec, Padding, Template, Truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +22,7 @@ BYTES = toy_models.bpe_bytes(template=Template.bert(1, 2), pretokenizer="gpt2")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def query(name: str, sql: str | None = None):
@@ -89,7 +90,7 @@ def _pretokenizer(k: int, name: str) -> None:
 
     @query(f"p{k}_{name}_pieces", sql and f"with p as (select doc_id, {sql} as p from documents) select doc_id, cast(len(p) as integer) as n_pieces, md5(array_to_string(p, chr(2))) as digest from p")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        own = table(spark, d, "documents").select("doc_id", pretokenize.pieces(F.col("text"), name).alias("p"))
+        own = table(spark, d, "documents").select("doc_id", encode.split_text(F.col("text"), name).alias("p"))
         return own.select("doc_id", F.size("p").alias("n_pieces"), F.md5(F.array_join("p", "\x02")).alias("digest"))
 
 

@@ -23,3 +23,22 @@ def read_documents(spark: SparkSession, paths, separator: str = "<|endoftext|>")
 def scan_documents(spark: SparkSession, paths, separator: str = "<|endoftext|>") -> DataFrame:
     """(text) of the documents in files that may be larger than a task's memory: files are split among tasks, order is not kept."""
     return spark.read.text(paths, lineSep=separator).where(F.length("value") > 0).select(F.make_valid_utf8("value").alias("text"))
+
+
+#: A file of at most so many bytes is taken to be one row group, which no scan can share among tasks.
+ONE_GROUP = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, of a table of files, over as many tasks as there are cores where it comes in fewer files, each too small to be split; else as it is.
+
+    So at most ``ONE_GROUP`` bytes a core are ever shuffled for this, and a large table never.
+    """
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    sizes = [(p := path(f)).getFileSystem(conf).getFileStatus(p).getLen() for f in files]
+    return df.repartition(cores) if max(sizes) <= ONE_GROUP and sum(sizes) > 1 << 20 else df
