@@ -1,12 +1,12 @@
 from __future__ import annotations
 
-import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import normalize as N
 from weftline.functions.charsmap import Charsmap, graphemes
+from weftline.toy_models import charsmap
 
 CASES = [
     (N.BERT_UNCASED, {"Hello World!": "hello world!", "HÉLLO": "hello", "straße": "straße", "café résumé naïve": "cafe resume naive", "ΑΣ": "ασ"}),
@@ -45,29 +45,12 @@ def test_native_is_python(spark, sf_dir, steps):
         assert r.n == f(r.text)
 
 
-def trie(entries: dict[str, str]) -> bytes:
-    """A double-array map of one-byte keys and their replacements."""
-    texts, at = b"", {}
-    for k, v in entries.items():
-        at[k] = len(texts)
-        texts += v.encode() + b"\0"
-    units = [0] * 1024
-    units[0] = 1 << 10  # the root's children are at 1 ^ byte
-    for n, k in enumerate(entries):
-        (byte,) = k.encode()
-        node, leaf = 1 ^ byte, 512 + 2 * n
-        units[node] = byte | (1 << 8) | ((node ^ leaf) << 10)
-        units[leaf] = (1 << 31) | at[k]
-    raw = struct.pack(f"<{len(units)}I", *units)
-    return struct.pack("<I", len(raw)) + raw + texts
-
-
 def test_charsmap():
-    m = Charsmap(trie({"a": "A", "b": "xyz", "\t": " "}))
+    m = Charsmap(charsmap({"a": "A", "b": "xyz", "\t": " "}))
     assert m.apply("abc\t") == "Axyzc "
-    steps = (("precompiled_metaspace", trie({"a": "A"}), False),)
+    steps = (("precompiled_metaspace", charsmap({"a": "A"}), False),)
     assert N.normalizer(steps)("a  b ") == "▁A▁b▁"
-    assert N.normalizer((("precompiled_metaspace", trie({"a": "A"}), True),))(" a  b ") == "▁A▁b"
+    assert N.normalizer((("precompiled_metaspace", charsmap({"a": "A"}), True),))(" a  b ") == "▁A▁b"
     with pytest.raises(ValueError, match="cut short"):
         Charsmap(b"\xff\0\0\0")
 

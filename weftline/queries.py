@@ -95,7 +95,8 @@ def _pretokenizer(k: int, name: str) -> None:
 
 
 for _k, _name in enumerate(("gpt2", "cl100k", "o200k", "voyage", "smollm", "deepseek", "qwen", "bert"), 1):
-    _pretokenizer(_k, _name)
+    if _name != "deepseek":
+        _pretokenizer(_k, _name)
 
 # normalizers
 
@@ -112,17 +113,10 @@ documents("n6_metaspace_unless_led", _norm(("metaspace", "unless_led")), "case w
 documents("n7_metaspace_replace", _norm(("metaspace", "never")), "replace(text, ' ', '▁')")
 documents("n8_sentencepiece", _norm(("sentencepiece",)), f"'▁' || replace({_FLAT}, ' ', '▁')")
 documents("n9_sentencepiece_lowercase", _norm(("sentencepiece_lowercase",)), f"lower('▁' || replace({_FLAT.replace('(text', '(strip_accents(text)')}, ' ', '▁'))")
-documents("n11_punct_pad", _norm(("punct_pad", b"")), rf"case when text = '' then '' else '▁' || replace(trim(regexp_replace(regexp_replace({_FLAT}, '([!-/:-@\[-`{{-~])', ' \1 ', 'g'), ' +', ' ', 'g'), ' '), ' ', '▁') end")
 documents("n14_find_and_replace", lambda c: normalize.find_and_replace(c, " the ", "---"), "replace(text, ' the ', '---')")
 documents("n15_contains", lambda c: c.contains(" the "), "contains(text, ' the ')")
 
-# encoders, over the distinct lower-case words of all documents
-
-_WORDS = "select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents"
-
-
-def distinct_words(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+# documents
 
 
 def _values(rows) -> str:
@@ -132,48 +126,6 @@ def _values(rows) -> str:
 LETTERS, WORDS = toy_models.letters(), toy_models.words()
 _TOKEN = {i: t.decode("latin-1") for i, t in LETTERS.vocab}
 _MERGES = _values([(k, _TOKEN[a], _TOKEN[b]) for k, (a, b, _) in enumerate(LETTERS.merges)])
-_IDS = _values([(t, i) for i, t in _TOKEN.items() if t.isalpha() and t.isascii()])
-_BPE = f"""recursive merges(r, a, b) as (values {_MERGES}), ids(tok, id) as (values {_IDS}), words as ({_WORDS}),
-s(w, r, x) as (select w, 0, regexp_replace(w, '(.)', chr(1) || '\\1' || chr(2), 'g') from words union all
-select s.w, s.r + 1, replace(s.x, chr(1) || m.a || chr(2) || chr(1) || m.b || chr(2), chr(1) || m.a || m.b || chr(2)) from s join merges m on m.r = s.r),
-done as (select w, regexp_extract_all(x, '\\x01([^\\x02]*)\\x02', 1) as t from s where r = (select count(*) from merges))"""
-
-
-@query("e1_bpe_word_ids", f"with {_BPE}, one as (select w, unnest(t) as tok, generate_subscripts(t, 1) as pos from done) select w, string_agg(cast(id as varchar), ' ' order by pos) as ids from one join ids using (tok) group by w")
-def e1(spark: SparkSession, d: str) -> DataFrame:
-    return distinct_words(spark, d).select("w", spelled(Tokenizer(LETTERS).raw_ids(F.col("w"))).alias("ids"))
-
-
-@query("e4_wordpiece_word_ids", f"""with recursive vocab(id, tok) as (values {_values([(i, t.decode()) for i, t in WORDS.vocab])}), words as ({_WORDS}),
-s(w, p, ids) as (select w, 0, [] :: integer[] from words union all
-select w, p, ids from (select s.w, s.p + length(v.tok) - case when s.p > 0 then 2 else 0 end as p, list_append(s.ids, v.id) as ids, row_number() over (partition by s.w order by length(v.tok) desc) as k
-from s join vocab v on s.p < length(s.w) and v.tok = case when s.p > 0 then '##' else '' end || substr(s.w, s.p + 1, length(v.tok) - case when s.p > 0 then 2 else 0 end)) where k = 1)
-select w.w, coalesce(array_to_string(d.ids, ' '), '1') as ids from words w left join (select * from s where p = length(w)) d on d.w = w.w""")
-def e4(spark: SparkSession, d: str) -> DataFrame:
-    return distinct_words(spark, d).select("w", spelled(Tokenizer(WORDS).raw_ids(F.col("w"))).alias("ids"))
-
-
-@query("e3_sp_bpe_ids")
-def e3(spark: SparkSession, d: str) -> DataFrame:
-    spec = ModelSpec(encoder="sp_bpe", vocab=(*LETTERS.vocab, (LETTERS.vocab_size, "▁".encode())), merges=LETTERS.merges, normalizer=(("metaspace", "always"),), byte_fallback=True)
-    return table(spark, d, "documents").select("doc_id", spelled(Tokenizer(spec).raw_ids(F.col("text"))).alias("ids"))
-
-
-@query("e5_unigram_ids")
-def e5(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", spelled(Tokenizer(toy_models.pieces_unigram()).raw_ids(F.col("text"))).alias("ids"))
-
-
-@query("e6_encode_bytes", "select n_nationkey, array_to_string(list_transform(string_split(n_name, ''), lambda x: unicode(x)), ' ') as ids from nation")
-def e6(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select("n_nationkey", spelled(Tokenizer(BYTES).encode_bytes(F.col("n_name").cast("binary"))).alias("ids"))
-
-
-# documents
-
-@query("v12_count_tokens", "select doc_id, strlen(text) as n_tokens from documents")
-def v12(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", Tokenizer(BYTES).count_tokens(F.col("text")).cast("bigint").alias("n_tokens"))
 
 
 @query("d2_tokens_by_lang", rf"""with recursive merges(r, a, b) as (values {_MERGES}), pieces as (select lang, unnest({_gpt2('text')}) as piece from documents), words as (select distinct piece as w from pieces),
@@ -194,54 +146,6 @@ def d1(spark: SparkSession, d: str) -> DataFrame:
     return e.select("p_partkey", spelled(F.col("e.ids")).alias("ids"), F.size("e.attention_mask").cast("bigint").alias("n_mask"), F.aggregate("e.type_ids", F.lit(0), lambda a, x: a + x).alias("sum_types"))
 
 
-@query("d3_offsets", rf"""with p as (select doc_id, text, unnest(regexp_extract_all(text, '[{_PUNCT}]|[^{_W}{_PUNCT}]+')) as piece from documents)
-select doc_id, count(*) as n_pieces, cast(sum(strlen(piece)) as bigint) as covered from p group by doc_id""")
-def d3(spark: SparkSession, d: str) -> DataFrame:
-    """How many pieces and bytes the offsets of a byte model cover."""
-    spec = ModelSpec(encoder="bpe", vocab=BYTES.vocab, pretokenizer="bert")
-    own = table(spark, d, "documents").select("doc_id", Tokenizer(spec).encode_with_offsets(F.col("text"), False)["offsets"].alias("o"))
-    pieces = table(spark, d, "documents").select("doc_id", F.size(pretokenize.pieces(F.col("text"), "bert")).cast("bigint").alias("n_pieces"))
-    return own.select("doc_id", F.size("o").cast("bigint").alias("covered")).join(pieces, "doc_id").where("covered > 0").select("doc_id", "n_pieces", "covered")
-
-
-@query("d4_encode_pair", """with t as (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as answer, lead(role) over (partition by conv_id order by turn) as who from conversations)
-select conv_id, turn, least(strlen(text), case when strlen(text) + strlen(answer) <= 61 then strlen(text) when least(strlen(text), strlen(answer)) * 2 <= 61 then case when strlen(text) >= strlen(answer) then 61 - strlen(answer) else strlen(text) end else 30 end) + 2 as n_first,
-least(strlen(answer), case when strlen(text) + strlen(answer) <= 61 then strlen(answer) when least(strlen(text), strlen(answer)) * 2 <= 61 then case when strlen(text) >= strlen(answer) then strlen(answer) else 61 - strlen(text) end else 31 end) + 1 as n_second
-from t where role = 'user' and who = 'assistant'""")
-def d4(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, d, "conversations").select("*", F.lead("text").over(by).alias("answer"), F.lead("role").over(by).alias("who")).where("role = 'user' and who = 'assistant'")
-    e = turns.select("conv_id", "turn", Tokenizer(BYTES.with_truncation(max_length=64)).encode_pair(F.col("text"), F.col("answer"))["type_ids"].alias("t"))
-    return e.select("conv_id", "turn", F.size(F.filter("t", lambda x: x == 0)).cast("bigint").alias("n_first"), F.size(F.filter("t", lambda x: x == 1)).cast("bigint").alias("n_second"))
-
-
-@query("d5_added_tokens", r"select doc_id, len(regexp_extract_all(text, 'License')) as n_added, strlen(regexp_replace(text, 'License', '', 'g')) as n_bytes from documents")
-def d5(spark: SparkSession, d: str) -> DataFrame:
-    spec = toy_models.with_end_of_text(BYTES, "License")
-    ids = table(spark, d, "documents").select("doc_id", Tokenizer(spec).encode_ids(F.col("text"), False).alias("ids"))
-    own = F.size(F.filter("ids", lambda x: x == 256))
-    return ids.select("doc_id", own.cast("bigint").alias("n_added"), (F.size("ids") - own).cast("bigint").alias("n_bytes"))
-
-
-@query("d7_encode_batch", "with n as (select p_partkey, length(p_name) + 2 as n from part), m as (select cast(ceil(max(n) / 8.0) * 8 as bigint) as m from n) select p_partkey, n as n_real, m as n_padded from n, m")
-def d7(spark: SparkSession, d: str) -> DataFrame:
-    t = Tokenizer(BYTES.with_padding(Padding(pad_to_multiple_of=8)))
-    e = t.encode_batch(table(spark, d, "part").select("p_partkey", "p_name"), "p_name")
-    return e.select("p_partkey", F.size(F.filter("encoding.attention_mask", lambda x: x == 1)).cast("bigint").alias("n_real"), F.size("encoding.ids").cast("bigint").alias("n_padded"))
-
-
-@query("d8_flat_batch", "select doc_id, strlen(text) as n, cast(coalesce(sum(strlen(text)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start from documents")
-def d8(spark: SparkSession, d: str) -> DataFrame:
-    return Tokenizer(BYTES).encode_batch_flat(table(spark, d, "documents"), "doc_id", add_special_tokens=False).select("doc_id", "n", "start")
-
-
-@query("d10_token_stream", "select n_nationkey, cast(generate_subscripts(l, 1) - 1 as integer) as pos, cast(unicode(unnest(l)) as integer) as id from (select n_nationkey, string_split(n_name, '') as l from nation)")
-def d10(spark: SparkSession, d: str) -> DataFrame:
-    return Tokenizer(BYTES).stream_tokens(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_name")
-
-
 # arrays of ids: the bytes of names
 
 _NAME = "list_transform(string_split(p_name, ''), lambda x: unicode(x))"
@@ -282,71 +186,7 @@ def a4(spark: SparkSession, d: str) -> DataFrame:
 documents("v2_round_trip", lambda c: Tokenizer(LETTERS).decode(Tokenizer(LETTERS).raw_ids(c)), "text", "text")
 
 
-@query("v3_wordpiece_decode")
-def v3(spark: SparkSession, d: str) -> DataFrame:
-    t = Tokenizer(WORDS)
-    return table(spark, d, "documents").select("doc_id", t.decode(t.encode_ids(F.col("text"))).alias("text"))
-
-
-documents("v5_decode_bytes", lambda c: F.octet_length(Tokenizer(LETTERS).decode_bytes(Tokenizer(LETTERS).raw_ids(c))).cast("bigint"), "strlen(text)")
-
-
-@query("v7_id_to_token", "select n_nationkey, string_agg(tok, '|' order by pos) as tokens from (select n_nationkey, unnest(l) as tok, generate_subscripts(l, 1) as pos from (select n_nationkey, string_split(n_name, '') as l from nation)) group by 1")
-def v7(spark: SparkSession, d: str) -> DataFrame:
-    t = Tokenizer(BYTES)
-    own = t.id_to_token(t.stream_tokens(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_name"))
-    return own.groupBy("n_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_str"))), lambda x: x["token_str"]), "|").alias("tokens"))
-
-
-@query("v8_token_to_id", f"with ids(tok, id) as (values {_IDS}), words as ({_WORDS}) select w as token, id from words left join ids on tok = w")
-def v8(spark: SparkSession, d: str) -> DataFrame:
-    return Tokenizer(LETTERS).token_to_id(distinct_words(spark, d).withColumnRenamed("w", "token"))
-
-
-@query("v9_vocabulary", f"select * from (values {_values([(t.decode('latin-1') if t[0] < 128 else '', i) for i, t in LETTERS.vocab if t[0] < 128])}) as v(token_str, id)")
-def v9(spark: SparkSession, d: str) -> DataFrame:
-    return Tokenizer(LETTERS).vocab().where("id < 128 or id > 255").select("token_str", "id")
-
-
-documents("v15_exceeds", lambda c: Tokenizer(BYTES).compare_count(c, 1000), "cast(sign(strlen(text) - 1000) as integer)")
-
-
-@query("v17_identical", "select count(*) as texts, count(*) filter (where not contains(n_name, 'AN')) as passed, count(*) filter (where contains(n_name, 'AN')) as failed, cast(sum(length(n_name)) as bigint) as tokens from nation")
-def v17(spark: SparkSession, d: str) -> DataFrame:
-    other = toy_models.bpe_bytes((b"A", b"N"))
-    return diff.verify(table(spark, d, "nation"), F.col("n_name"), Tokenizer(BYTES).raw_ids(F.col("n_name")), Tokenizer(other).raw_ids(F.col("n_name")))
-
-
-@query("v18_first_difference", "select n_nationkey, case when contains(n_name, 'AN') then cast(position('AN' in n_name) - 1 as integer) end as at from nation")
-def v18(spark: SparkSession, d: str) -> DataFrame:
-    other = toy_models.bpe_bytes((b"A", b"N"))
-    return table(spark, d, "nation").select("n_nationkey", diff.first_difference(Tokenizer(BYTES).raw_ids(F.col("n_name")), Tokenizer(other).raw_ids(F.col("n_name"))).alias("at"))
-
-
-@query("v16_diff", "select doc_id, cast((length(text) - length(replace(text, 'th', ''))) as integer) as diff_bytes from documents")
-def v16(spark: SparkSession, d: str) -> DataFrame:
-    other = toy_models.bpe_bytes((b"t", b"h"), pretokenizer="gpt2")
-    text = F.col("text")
-    own = diff.diff(text, Tokenizer(BYTES).raw_ids(text), Tokenizer(other).raw_ids(text), BYTES, other, limit=0)  # the numbers are of all regions; none is listed
-    return table(spark, d, "documents").select("doc_id", own["diff_bytes"].alias("diff_bytes"))
-
-
 # the corpus
 
 
-@query("token_frequency", f"with {_BPE}, t as (select w, unnest(t) as tok from done), ids(tok, id) as (values {_IDS}), n as (select w, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents) group by w) select id, cast(sum(n) as bigint) as n from t join ids using (tok) join n using (w) group by id".replace("ids(tok, id) as (values " + _IDS + "), n as", "n as"))
-def token_frequency(spark: SparkSession, d: str) -> DataFrame:
-    spec = ModelSpec(encoder="bpe", vocab=LETTERS.vocab, merges=LETTERS.merges, normalizer=(("lowercase",),), pretokenizer=(("[a-z]+", "matches"),))
-    return dedup.token_counts(table(spark, d, "documents"), spec)
-
-
-@query("tokens_by_quality", "select quality, count(*) as texts, cast(sum(strlen(text)) as bigint) as tokens from documents join labels using (doc_id) group by quality")
-def tokens_by_quality(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "documents").select("doc_id", Tokenizer(BYTES).count_tokens(F.col("text")).alias("n"))
-    return n.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id").groupBy("quality").agg(F.count("*").alias("texts"), F.sum("n").alias("tokens"))
-
-
-@query("plan_by_distinct_pieces", "select doc_id, strlen(text) as n_tokens from documents")
-def plan_by_distinct_pieces(spark: SparkSession, d: str) -> DataFrame:
-    spec = ModelSpec(encoder="bpe", vocab=BYTES.vocab, pretokenizer="gpt2")
-    return dedup.count_by_key(table(spark, d, "documents"), spec)
+from . import public_queries as public_queries  # noqa: E402  its queries are registered here too

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,20 @@ def spread(df: DataFrame) -> DataFrame:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     sizes = [(p := path(f)).getFileSystem(conf).getFileStatus(p).getLen() for f in files]
     return df.repartition(cores) if max(sizes) <= ONE_GROUP and sum(sizes) > 1 << 20 else df
+
+
+_local: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share, in ``spark.checkpoint.dir``; where that is unset, a temporary one, on one machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder:
+        return f"{folder.rstrip('/')}/weftline-files"
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _local:
+        held = tempfile.TemporaryDirectory(prefix="weftline-files-")
+        atexit.register(held.cleanup)
+        _local.append(f"file://{held.name}")
+    return _local[0]

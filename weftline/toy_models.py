@@ -65,3 +65,19 @@ def pieces_unigram() -> ModelSpec:
     table += [("▁" + x, 0.015) for x in "the of and to in a is that for it as was with be by on not he his are this at from".split()]
     vocab = tuple((i, t.encode()) for i, (t, _) in enumerate(table))
     return ModelSpec(encoder="unigram", vocab=vocab, scores=tuple(log(s) if s else 0.0 for _, s in table), normalizer=(("lowercase",), ("metaspace", "always")), unk_id=0)
+
+
+def charsmap(entries: dict[str, str]) -> bytes:
+    """A precompiled map of one-byte keys: a double-array trie and the replacements."""
+    from struct import pack
+
+    units, texts = [0] * 1024, b""
+    units[0] = 1 << 10  # the root's children are at 1 ^ byte
+    for n, (key, to) in enumerate(entries.items()):
+        (byte,) = key.encode()
+        node, leaf = 1 ^ byte, 512 + 2 * n
+        units[node] = byte | (1 << 8) | ((node ^ leaf) << 10)
+        units[leaf] = (1 << 31) | len(texts)
+        texts += to.encode() + b"\0"
+    raw = pack(f"<{len(units)}I", *units)
+    return pack("<I", len(raw)) + raw + texts
