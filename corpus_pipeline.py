@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontaminate, jaccard, lines, packing, quality
-from weftline.llm.common import cut, table
+from weftline.llm.common import cut, freeing, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +46,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    with freeing() as done:  # a stage's own tables, and its input, go as soon as its result is written
+        for _, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir))
+            done(docs)
     return docs

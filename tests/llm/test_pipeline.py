@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from weftline.llm import queries
+from weftline.llm import common, queries
 
 from .helpers import DOCS, ODD, documents
 from .test_decontaminate import brute as spans_of
@@ -86,7 +86,9 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     sf_dir, _, _ = folder
+    before = set(common._written)
     rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert len(set(common._written) - before) == 1  # the stages' tables are gone
     assert rows and all(r.used == sum(p.length for p in r.pieces) for r in rows)
 
 

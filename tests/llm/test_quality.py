@@ -92,3 +92,28 @@ def test_without_labels_only_wordless_texts_go(spark):
     odd = spark.createDataFrame([(None, 1, 0), (904, None, 0), (12345, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.keep_good(docs, odd).count() == 7
     assert quality.quality_rules(docs.where("false"), none).count() == 0
+
+
+def test_threshold_is_the_best_of_those_that_spare_the_good(spark):
+    """Against trying every threshold on every labelled row."""
+    rows, labels = corpus(9, 200)
+    docs, known = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    x = quality.features(docs)
+    rules = quality.fit(x, known, clean_loss=0.02, bins=512)
+    score = {r.doc_id: rules.forest.score(np.array([r.x]))[0] for r in x.collect()}
+    good, bad = ([score[i] for i, q, _ in labels if q == k] for k in (1, 0))
+
+    def value(t):
+        lost, caught = (sum(s >= t for s in part) / len(part) for part in (good, bad))
+        return caught - lost if lost <= 0.02 else -1
+
+    assert abs(value(rules.threshold) - max(value(k / 512) for k in range(512))) < 1e-12
+    assert rules.threshold == min(k / 512 for k in range(512) if abs(value(k / 512) - value(rules.threshold)) < 1e-12)
+
+
+def test_clashing_columns(spark):
+    rows, labels = corpus(5, 80)
+    docs = documents(spark, rows).selectExpr("*", "1 as x", "2 as score", "3 as keep", "4 as good")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").selectExpr("*", "1 as x", "2 as good", "3 as n")
+    assert quality.quality_rules(docs, known).columns == ["doc_id", "score"]
+    assert quality.quality_rules(docs, known).count() > 0

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..names import fresh as fresh
 from ..workers import reach
 
 
@@ -44,6 +46,10 @@ def _place(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+#: Paths of the tables that are there, in the order of writing.
+_written: dict[str, DataFrame] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder, which survives the loss of executors; deleted by ``free``, or when the session's JVM ends."""
     spark = df.sparkSession
@@ -52,6 +58,7 @@ def cut(df: DataFrame) -> DataFrame:
     system, where = _place(spark, path)
     system.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
+    _written[path] = out
     out._weftline_path = path
     return out
 
@@ -61,17 +68,18 @@ def free(*tables: DataFrame) -> None:
     for df in tables:
         system, where = _place(df.sparkSession, df._weftline_path)
         system.delete(where, True)
+        _written.pop(df._weftline_path, None)
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """The names, with underscores put before them until no column of ``df`` has them, in any case."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+@contextmanager
+def freeing() -> Iterator[Callable[[DataFrame], None]]:
+    """Within it, ``done(table)`` frees what ``cut`` has written since it began, but for ``table``."""
+    before = set(_written)
+
+    def done(table: DataFrame) -> None:
+        free(*[t for path, t in list(_written.items()) if path not in before and t is not table])
+
+    yield done
 
 
 def pick(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:

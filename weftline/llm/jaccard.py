@@ -279,23 +279,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star, each by an aggregation joined back, so
     that a hub's edges can be split among tasks; each round's edges are a table in
-    the shared folder, and the work ends when a round changes nothing.
+    the shared folder, and the work ends when they are stars around least ids.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
     while True:
+        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("more"), F.lit(0).alias("least")).union(e.select("v", F.lit(0), F.lit(1))).groupBy("id").agg(F.sum("more").alias("more"), F.max("least").alias("least"))
+        if ends.where("more > 1 or (more = 1 and least = 1)").isEmpty():
+            return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(least, "u")
-        small = pairs.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         old, e = e, cut(small)
         free(old)
-        state = e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-        if state == before:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        before = state
 
 
 def _roots(sig: DataFrame, found: DataFrame) -> DataFrame:

@@ -5,7 +5,10 @@ grown on a bounded sample of rows labelled good (about ``fit_rows``, those whose
 doc_id is below the share that gives so many; of the bad ones where no row is good); random splits isolate anomalous documents on short paths.  The
 threshold on the anomaly score is calibrated on all labelled rows: among
 thresholds that reject at most ``clean_loss`` of the good rows, the one with the
-highest balanced accuracy.
+highest balanced accuracy, the least of equal ones; a score equal to the threshold
+is rejected.  The forest sees no label but good, so calibrating on its own rows
+tells little more of them than of others: half of the rows for each made results
+worse with few labels (at sf0.01 48 % of the bad rows were kept, none before).
 
 Cost: one pass over the texts gives a narrow table of statistics, written to
 the shared folder; fitting and calibration read that table joined with the
