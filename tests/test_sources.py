@@ -176,3 +176,27 @@ def test_streams(spark, tmp_path, sf_dir):
     q = windowed_counts(timed, t, "at", "10 minutes", "0 seconds").writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c4")).start()
     q.awaitTermination(120)
     assert spark.table("windows").count() > 0
+
+
+def test_models_on_hadoop_paths(spark, tmp_path):
+    spec = toy_models.words()
+    path = f"file://{tmp_path}/models/words"
+    spec.save(path)
+    spec.save(path)  # over what is there
+    assert ModelSpec.load(path) == spec
+    assert Tokenizer(ModelSpec.load(path)).spec.key == spec.key
+
+
+def test_templates_in_a_sequence():
+    from weftline.sources.tokenizer_json import template_of
+    from weftline.spec import Template
+
+    def made(pair):
+        node = {"type": "TemplateProcessing", "single": [{"SpecialToken": {"id": "<s>", "type_id": 0}}, {"Sequence": {"id": "A", "type_id": 0}}], "special_tokens": {"<s>": {"ids": [7]}}}
+        return node | ({"pair": pair} if pair is not None else {})
+
+    assert template_of({"type": "Sequence", "processors": [{"type": "ByteLevel"}, made(None)]}, {}) == Template((7,), (), (7,), (), (7,), ())
+    two = [*made(None)["single"], {"Sequence": {"id": "B", "type_id": 1}}]
+    assert template_of({"type": "Sequence", "processors": [made(two), {"type": "ByteLevel"}]}, {}) == Template((7,), (), (7,), (), (), ())
+    with pytest.raises(ValueError, match="two post-processors"):
+        template_of({"type": "Sequence", "processors": [made(two), made(two)]}, {})

@@ -15,6 +15,7 @@ from pathlib import Path
 
 from ..functions.pretokenize import NAMED
 from ..spec import AddedToken, ModelSpec, Template
+from .storage import fetched, is_remote
 
 
 @lru_cache(maxsize=1)
@@ -118,15 +119,19 @@ def pretokenizer_of(node: dict | None) -> tuple[tuple | None, tuple[tuple, ...],
 
 
 def template_of(node: dict | None, ids: dict[str, int]) -> Template:
+    found = Template()
     if not node:
-        return Template()
+        return found
     for n in node["processors"] if node["type"] == "Sequence" else [node]:
         kind = n["type"]
         if kind == "ByteLevel":
             continue
         if kind in ("BertProcessing", "RobertaProcessing"):
             cls, sep = n["cls"][1], n["sep"][1]
-            return Template((cls,), (sep,), (cls,), (sep,), (sep,) if kind == "RobertaProcessing" else (), (sep,))
+            found = Template((cls,), (sep,), (cls,), (sep,), (sep,) if kind == "RobertaProcessing" else (), (sep,))
+            continue
+        if found != Template():
+            raise ValueError("two post-processors that add tokens aren't supported")
         if kind != "TemplateProcessing":
             raise ValueError(f"post-processor {kind} isn't supported")
         special = {k: tuple(v["ids"]) for k, v in (n.get("special_tokens") or {}).items()}
@@ -141,12 +146,15 @@ def template_of(node: dict | None, ids: dict[str, int]) -> Template:
             return [tuple(x) for x in out], [p["SpecialToken"]["type_id"] if "SpecialToken" in p else None for p in parts]
 
         (before, after, _), _ = split(n["single"])
+        if not n.get("pair"):  # a pair has then the specials of two single texts
+            found = Template(before, after, before, after, before, after)
+            continue
         (a, middle, end), types = split(n["pair"])
         # of the specials in the middle, those with the second text's type go with it
         own = [t for t in types[len(a) + 1 : len(a) + 1 + len(middle)] if t is not None]
         cut = sum(t == 0 for t in own)
-        return Template(before, after, a, middle[:cut], middle[cut:], end)
-    return Template()
+        found = Template(before, after, a, middle[:cut], middle[cut:], end)
+    return found
 
 
 def is_topological(merges: list[tuple[int, int, int]]) -> bool:
@@ -196,6 +204,10 @@ def from_json_str(text: str, pretokenizer: str | tuple | None = None, encoder: s
 
 
 def from_json(path: str | Path, pretokenizer: str | tuple | None = None, encoder: str | None = None) -> ModelSpec:
+    """The model of a file; a path with a scheme is one of a file system of Hadoop's."""
+    if is_remote(path):
+        with fetched(str(path)) as own:
+            return from_json(own, pretokenizer, encoder)
     return from_json_str(Path(path).read_text(encoding="utf-8"), pretokenizer, encoder)
 
 

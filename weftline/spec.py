@@ -172,10 +172,17 @@ class ModelSpec:
         return rows + [(t.id, t.content.encode(), t.content, len(t.content.encode()), None, t.special) for t in self.added if t.id not in known]
 
     def save(self, folder: str | Path) -> None:
-        """Writes the model to a new folder beside its place, and then renames that."""
+        """Writes the model to a new folder beside its place, and then renames that; a path with a scheme is one of a file system of Hadoop's."""
         import pyarrow as pa
         import pyarrow.parquet as pq
 
+        from .sources import storage
+
+        if storage.is_remote(folder):
+            with tempfile.TemporaryDirectory(prefix="weftline-save-") as own:
+                self.save(Path(own) / "model")
+                storage.put(Path(own) / "model", str(folder))
+            return
         folder = Path(folder)
         folder.parent.mkdir(parents=True, exist_ok=True)
         own = Path(tempfile.mkdtemp(prefix=f".{folder.name}-", dir=folder.parent))
@@ -193,6 +200,11 @@ class ModelSpec:
     def load(cls, folder: str | Path) -> ModelSpec:
         import pyarrow.parquet as pq
 
+        from .sources import storage
+
+        if storage.is_remote(folder):
+            with storage.fetched(str(folder)) as own:
+                return cls.load(own)
         folder = Path(folder)
         head = json.loads((folder / "model.json").read_text(), object_hook=lambda d: bytes.fromhex(d["bytes"]) if d.keys() == {"bytes"} else d)
         tuples = lambda x: tuple(map(tuples, x)) if isinstance(x, list) else x
