@@ -76,6 +76,15 @@ def test_ids(spark, k):
         assert r.n == (None if r.b is None else len(r.b))
 
 
+@pytest.mark.parametrize("k", [0, 1, 5, 6, 7, 8])
+def test_offsets(spark, k):
+    spec = list(models())[k]
+    df, t = table(spark, made(20 + k, 250)), F.col("t")
+    by_pieces = E.offsets_of_pieces(E.normalized(t, spec), E.pieces(t, spec), spec)
+    for r in df.select("t", E.offsets_of_text(t, spec).alias("a"), by_pieces.alias("b")).collect():
+        assert r.a == r.b, repr(r.t)
+
+
 def test_worker_forgets(spark, monkeypatch):
     monkeypatch.setattr(chunks, "KEEP_RESULTS", 50)
     work = chunks.Chunks(lambda text, first, whole: ([len(text)], [1]))

@@ -452,3 +452,59 @@ def spans_of_text(shared, text: str) -> list[tuple[int, int, int]]:
             inside += len(own)
         at += len(raw)
     return out
+
+
+_END, _LENGTH = -2, -3
+
+
+def offsets_of_text(c: Column, spec: ModelSpec) -> Column:
+    """Ids with their byte ranges in the normalized text, for a model without added tokens."""
+    if not by_chunks(spec):
+        return offsets_of_pieces(normalized(c, spec), pieces(c, spec), spec)
+    shared = share(spec)
+
+    def make(encode: Worker) -> chunks.Chunks:
+        first, later, split = N.normalizer(spec.normalizer), N.normalizer(chunks.later(spec.normalizer)), splitter(stages_of(spec))
+
+        def work(text: str, leads: bool, whole: bool):
+            """Each id with its start, then its end; at last the length of the chunk."""
+            text = _led(first(text, True), spec) if leads else later(text, False)
+            raw, at, values, places = text.encode(), 0, [], []
+            for piece in split(text):
+                own = piece.encode()
+                at = max(at, raw.find(own, at))
+                got = encode(own)
+                if got is None:
+                    return None
+                start = at
+                for i, size in zip(*got):
+                    values += (i, _END)
+                    places += (start, start + size)
+                    start += size
+                at += len(own)
+            return [*values, _LENGTH], [*places, len(raw)]
+
+        return chunks.Chunks(work)
+
+    @F.arrow_udf(OFFSETS)
+    def run(texts: pa.Array) -> pa.Array:
+        encode = worker(shared)
+        values, places, bounds, bad = chunks.kept(("offsets", encode.spec.key), lambda: make(encode)).lists(texts)
+        null = np.asarray(texts.is_null()) | bad
+        length = np.where(values == _LENGTH, places, 0).astype(np.int64)
+        before = np.append(0, np.cumsum(length))
+        base = before[:-1] - np.repeat(before[bounds[:-1]], np.diff(bounds))
+        own = values >= 0
+        ids, start, end = values[own], (places + base)[own], (places + base)[values == _END]
+        bounds = np.append(0, np.cumsum(own))[bounds]
+        if null.any():
+            keep = ~np.repeat(null, np.diff(bounds))
+            ids, start, end, bounds = ids[keep], start[keep], end[keep], np.append(0, np.cumsum(np.where(null, 0, np.diff(bounds))))
+        if collapses(encode.spec) and len(ids):
+            keep = _without_repeated_unknowns(ids, bounds, encode.spec.unk_id)
+            end = np.maximum.reduceat(end, np.flatnonzero(keep))
+            ids, start, bounds = ids[keep], start[keep], np.append(0, np.cumsum(keep))[bounds]
+        pair = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["start", "end"])
+        return pa.StructArray.from_arrays([_list_array(pa.array(ids, pa.int32()), bounds, null), _list_array(pair, bounds, null)], ["ids", "offsets"], mask=pa.array(null))
+
+    return run(c)

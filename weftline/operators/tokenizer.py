@@ -55,8 +55,7 @@ class Tokenizer:
     def encode_with_offsets(self, text: Column, add_special_tokens: bool = True) -> Column:
         """With byte ranges in the normalized text; added tokens aren't looked for, and specials have (0, 0)."""
         plain = ModelSpec(**{k: getattr(self.spec, k) for k in ModelSpec.__dataclass_fields__ if k != "added"})
-        norm = E.normalized(text, plain)
-        both = E.offsets_of_pieces(norm, E.pieces(text, plain), plain)
+        both = E.offsets_of_text(text, plain)
         t, zero = self.spec.template, F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
         ids, offsets = both["ids"], both["offsets"]
         if self.spec.truncation:
