@@ -14,41 +14,32 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ENDINGS = "|".join("'" + x for x in ("s", "t", "re", "ve", "m", "ll", "d"))
-_SUFFIX = f"(?i:{_ENDINGS})"
-_BLANK = r"\s+(?!\S)", r"\s+"  # all but the last of a run, then what is left
-_BREAK = r"\s*[\r\n]+", *_BLANK
-_LETTER, _NUMBER = r"\p{L}", r"\p{N}"
-_OTHER = rf"[^\s{_LETTER}{_NUMBER}]+"
-_LED = rf"[^\r\n{_LETTER}{_NUMBER}]?"
 _CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2CEAF}\x{2F800}-\x{2FA1F}"
 _PUNCT = r"!-/:-@\[-`{-~\p{P}"
-_CASELESS = r"\p{Lm}\p{Lo}\p{M}"
-_UP, _LOW = rf"[\p{{Lu}}\p{{Lt}}{_CASELESS}]", rf"[\p{{Ll}}{_CASELESS}]"
-
-
-def _any(*parts: str) -> str:
-    return "|".join(parts)
-
-
-_GPT2 = _any(_ENDINGS, f" ?{_LETTER}+", f" ?{_NUMBER}+", f" ?{_OTHER}", *_BLANK)
-
-
-def _cl100k(digits: str, letters: str = _LETTER) -> str:
-    return _any(_SUFFIX, f"{_LED}[{letters}]+", digits, rf" ?{_OTHER}[\r\n]*", *_BREAK)
 
+# Published patterns, whole: those of GPT-2, and of the cl100k and o200k vocabularies with the variants that public models use.
+_GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_CL100K = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?[\p{L}]+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+_VOYAGE = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?[\p{L}]+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+_QWEN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?[\p{L}\p{M}]+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+_O200K = (
+    r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?i:'s|'t|'re|'ve|'m|'ll|'d)?"
+    r"|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?"
+    r"|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+)
+_DEEPSEEK = r"[!-/:-@\[-`{-~][A-Za-z]+|[^\r\n\p{L}\p{P}\p{S}]?[\p{L}\p{M}]+| ?[\p{P}\p{S}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
 
 NAMED: dict[str, tuple[tuple[str, str], ...]] = {
     "gpt2": ((_GPT2, "matches"),),
-    "cl100k": ((_cl100k(r"\p{N}{1,3}"), "matches"),),
-    "o200k": ((_any(f"{_LED}{_UP}*{_LOW}+{_SUFFIX}?", f"{_LED}{_UP}+{_LOW}*{_SUFFIX}?", f"{_NUMBER}{{1,3}}", rf" ?{_OTHER}[\r\n/]*", *_BREAK), "matches"),),
-    "voyage": ((_cl100k(r"\p{N}"), "matches"),),
+    "cl100k": ((_CL100K, "matches"),),
+    "o200k": ((_O200K, "matches"),),
+    "voyage": ((_VOYAGE, "matches"),),
     "smollm": ((r"\p{N}", "isolated"), (_GPT2, "matches")),
     "deepseek": (
         (r"\p{N}{1,3}", "isolated"), ("[一-龥぀-ゟ゠-ヿ]+", "isolated"),
-        (_any(r"[!-/:-@\[-`{-~][A-Za-z]+", r"[^\r\n\p{L}\p{P}\p{S}]?[\p{L}\p{M}]+", r" ?[\p{P}\p{S}]+[\r\n]*", *_BREAK), "isolated"),
+        (_DEEPSEEK, "isolated"),
     ),
-    "qwen": ((_cl100k(r"\p{N}", r"\p{L}\p{M}"), "matches"),),
+    "qwen": ((_QWEN, "matches"),),
     "bert": ((rf"[{_CJK}]|[{_PUNCT}]|[^\s{_PUNCT}{_CJK}]+", "matches"),),
     "whitespace_split": ((r"\S+", "matches"),),
     "whitespace": ((r"\w+|[^\w\s]+", "matches"),),
