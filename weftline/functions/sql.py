@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import encode as E
 from ..spec import ModelSpec
+from ..workers import in_batches
 from .decode import skipped, text_array
 
 
@@ -20,7 +21,7 @@ def register(spark: SparkSession, spec: ModelSpec, prefix: str = "tok") -> None:
     """
     shared = E.share(spec)
 
-    @F.arrow_udf("array<int>")
+    @in_batches("array<int>")
     def encode_ids(texts: pa.Array) -> pa.Array:
         ids, _, bounds, null = E.text_lists(shared, texts)
         t = shared.value.template
@@ -34,16 +35,16 @@ def register(spark: SparkSession, spec: ModelSpec, prefix: str = "tok") -> None:
             bounds = np.append(0, np.cumsum(np.where(null, 0, n + t.added())))
         return E._list_array(pa.array(ids, pa.int32()), bounds, null)
 
-    @F.arrow_udf("int")
+    @in_batches("int")
     def count(texts: pa.Array) -> pa.Array:
         return E.text_counts(shared, texts)
 
-    @F.arrow_udf("array<string>")
+    @in_batches("array<string>")
     def pieces(texts: pa.Array) -> pa.Array:
         parts = E.prepared(shared.value)
         return pa.array([None if t is None else [p for _, p in parts(t)] for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    @F.arrow_udf("string")
+    @in_batches("string")
     def decode(ids: pa.Array) -> pa.Array:
         own = shared.value
         return text_array(ids, own, skipped(own))
