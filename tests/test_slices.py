@@ -111,3 +111,25 @@ def test_texts_with_added_tokens_are_not_kept_whole():
 def test_bytes_with_null_and_empty(spark):
     df = spark.createDataFrame([(b"ab",), (b"",), (None,), (b"\xff\x00",)], "b binary")
     assert [r.x for r in df.select(Tokenizer(toy_models.bpe_bytes()).encode_bytes(F.col("b")).alias("x")).collect()] == [[97, 98], [], None, [255, 0]]
+
+
+def test_a_character_is_looked_up_once(monkeypatch):
+    """Normalizers that go over every character of a text ask for each distinct one alone."""
+    from weftline.functions import normalize as N
+
+    asked = []
+    monkeypatch.setattr(N, "unicodedata", type("U", (), {"category": staticmethod(lambda c, own=N.unicodedata: asked.append(c) or own.category(c)), "normalize": staticmethod(N.unicodedata.normalize)}))
+    for steps in ((("sentencepiece_lowercase",),), (("sentencepiece",),), (("clean",),)):
+        before = len(asked)
+        N.normalizer(steps)("Tous ℗℘­\t\x01 été " * 500)
+        assert len(asked) - before < 60
+    assert N.normalizer((("sentencepiece_lowercase",),))(" \x01É­Σ　a�\tb ") == "▁eσ▁a▁b"
+    assert N.normalizer((("sentencepiece",),))("a​b\x01c") == "▁a▁bc"
+
+
+def test_written_files_are_of_bounded_size(spark, sf_dir, monkeypatch):
+    from weftline import public_queries as Q
+
+    monkeypatch.setattr(Q, "_PER_FILE", 5)
+    files = spark.read.format("binaryFile").load(Q._files(spark, sf_dir)).count()
+    assert files >= 20
