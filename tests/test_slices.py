@@ -133,3 +133,12 @@ def test_written_files_are_of_bounded_size(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(Q, "_PER_FILE", 5)
     files = spark.read.format("binaryFile").load(Q._files(spark, sf_dir)).count()
     assert files >= 20
+
+
+def test_files_are_encoded_once(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("the one|another|in the end")
+    done = Tokenizer(toy_models.letters()).encode_files_flat(spark, str(tmp_path), "|").select("ids", "n", "start")
+    rows = sorted(done.collect(), key=lambda r: r.start)
+    assert [r.start for r in rows] == [0, rows[0].n, rows[0].n + rows[1].n]
+    plan = done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ArrowEvalPython") == 1
