@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline import toy_models, workers
-from weftline.operators import batch, chunks, cores
+from weftline.operators import batch, chunks, cores, diff
 from weftline.operators import encode as E
 from weftline.operators.tokenizer import Tokenizer
 from weftline.spec import AddedToken, ModelSpec
@@ -142,3 +142,44 @@ def test_files_are_encoded_once(spark, tmp_path):
     assert [r.start for r in rows] == [0, rows[0].n, rows[0].n + rows[1].n]
     plan = done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("ArrowEvalPython") == 1
+
+
+def told_by_rows(t, x, y, ta, tb, limit):
+    """``diff`` of one text, token by token."""
+    if t is None or x is None or y is None:
+        return None
+    raw, found, size = t.encode(), [], 0
+    shown = lambda i, tokens: tokens.get(i, f"<unk:{i}>".encode())
+
+    def spans(ids, tokens):
+        at, out = 0, []
+        for i in ids:
+            out.append({"id": i, "start": at, "end": (at := at + len(shown(i, tokens))), "text": shown(i, tokens).decode(errors="replace")})
+        return out
+
+    a, b = spans(x, ta), spans(y, tb)
+    place = {(s["id"], s["start"], s["end"]): k for k, s in enumerate(b) if s["end"] > s["start"]}
+    same = [(k, place[s["id"], s["start"], s["end"]]) for k, s in enumerate(a) if (s["id"], s["start"], s["end"]) in place]
+    for (p, q), (p_end, q_end) in zip([(-1, -1), *same], [*same, (len(a), len(b))]):
+        if own := [*a[p + 1 : p_end], *b[q + 1 : q_end]]:
+            start, end = min(s["start"] for s in own), max(s["end"] for s in own)
+            size += end - start
+            found.append({"start": start, "end": end, "text": raw[start:end].decode(errors="replace"), "a": a[p + 1 : p_end], "b": b[q + 1 : q_end]})
+    rate = 1 - size / len(raw) if raw else 1.0
+    return {"text_bytes": len(raw), "tokens_a": len(x), "tokens_b": len(y), "diff_count": len(found), "diff_bytes": size, "match_rate": rate, "truncated": len(found) > limit, "regions": found[:limit]}
+
+
+@pytest.mark.parametrize("limit", [0, 2, 100])
+def test_rows_are_compared_on_flat_arrays(limit):
+    rng = random.Random(6)
+    a, b = toy_models.bpe_bytes((b"a", b"b")), toy_models.bpe_bytes((b"t", b"h"), (b"\xc3", b"a"))
+    texts = [None if rng.random() < 0.1 else "".join(rng.choice("abthé x") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    lists = []
+    for run in (cores.bpe(a), cores.bpe(b)):
+        own = [None if t is None or rng.random() < 0.05 else [i for i, _ in run(t.encode())] for t in texts]
+        # some ids aren't known, one has no bytes, some end early
+        lists.append([x and [*(999 if rng.random() < 0.02 else 998 if rng.random() < 0.02 else i for i in x)][: len(x) - (rng.random() < 0.1)] for x in own])
+    ta, ids = a.tokens | {999: b""}, pa.list_(pa.int32())
+    got = diff.compared(pa.array(texts), pa.array(lists[0], ids), pa.array(lists[1], ids), ta, b.tokens, limit).to_pylist()
+    assert got == [told_by_rows(t, x, y, ta, b.tokens, limit) for t, x, y in zip(texts, *lists)]
+    assert diff.compared(pa.array([], pa.string()), pa.array([], ids), pa.array([], ids), ta, b.tokens, limit).to_pylist() == []
