@@ -93,3 +93,34 @@ def test_worker_forgets(spark, monkeypatch):
     for _ in range(3):
         values, _, bounds, _ = work.lists(pa.array([f"w{k} x" for k in range(100)]))
         assert values.tolist() == [n for k in range(100) for n in (len(f"w{k}"), 2)] and bounds[-1] == 200
+
+
+LETTERED = ["gpt2", "cl100k", "voyage", "qwen", *(((p, b),) for p in sorted(P.KNOWN) for b in ("isolated", "matches"))]
+
+
+@pytest.mark.parametrize("how", LETTERED)
+@pytest.mark.parametrize("options", [{}, {"ignore_merges": True}, {"low": 98, "unk_id": 300}, {"low": 98}])
+def test_words_are_encoded_as_bytes(how, options):
+    """Chunks of letters go to the encoder as spans of bytes, unsplit, and all chunks give what whole texts give."""
+    import pyarrow as pa
+
+    letters = toy_models.letters()
+    own = {k: v for k, v in options.items() if k != "low"}
+    spec = ModelSpec(encoder="bpe", vocab=letters.vocab[options.get("low", 0) :], merges=letters.merges, pretokenizer=how, **own)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice(["th", "in", "er", "a", "S", "é", "Σ", "ж", "ʰ", "ª", "字"][: rng.choice([4, 11])]) for _ in range(rng.randint(1, 30)))
+    texts = [*made(9, 150), *(rng.choice(["", " "]).join(rng.choice([word, lambda: rng.choice(PARTS), lambda: rng.choice(".,:;_'")])() for _ in range(rng.randint(1, 40))) for _ in range(150)), None]
+    encode = E.Worker(spec)
+    work, parts, asked = E._encoding_chunks(encode), E.prepared(spec), []
+    many = work.many
+    work.many = lambda chunk, *more: asked.extend(chunk) or many(chunk, *more)
+    ids, sizes, bounds, bad = work.lists(pa.array(texts))
+    for k, t in enumerate(texts):
+        want = [encode(p.encode()) for _, p in parts(t or "")]
+        assert bad[k] == (None in want), t
+        if not bad[k]:
+            assert list(zip(ids[bounds[k] : bounds[k + 1]].tolist(), sizes[bounds[k] : bounds[k + 1]].tolist())) == [x for a, b in want for x in zip(a, b)], t
+    if chunks.of_letters((), how):
+        assert asked and not any(c.removeprefix(" ").isascii() and c.removeprefix(" ").isalpha() for c in asked)
+    else:
+        assert "[\\p{L}]+|[\\p{N}]|" in how[0][0]

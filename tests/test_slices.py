@@ -183,3 +183,12 @@ def test_rows_are_compared_on_flat_arrays(limit):
     got = diff.compared(pa.array(texts), pa.array(lists[0], ids), pa.array(lists[1], ids), ta, b.tokens, limit).to_pylist()
     assert got == [told_by_rows(t, x, y, ta, b.tokens, limit) for t, x, y in zip(texts, *lists)]
     assert diff.compared(pa.array([], pa.string()), pa.array([], ids), pa.array([], ids), ta, b.tokens, limit).to_pylist() == []
+
+
+def test_ranks_of_rules_by_slots():
+    rules = np.random.default_rng(3).integers(0, 200, (20_000, 2)).tolist()
+    first = {tuple(pair): rank for rank, pair in reversed(list(enumerate(rules)))}
+    merges = batch.Merges(ModelSpec(encoder="bpe", vocab=toy_models.letters().vocab, merges=tuple((a, b, 1) for a, b in rules)))
+    left, right = np.repeat(np.arange(-1, 201), 202), np.tile(np.arange(-1, 201), 202)
+    assert merges.count.max() > 1
+    assert merges._ranks(left.astype(np.int32), right.astype(np.int32)).tolist() == [first.get(pair, batch._FAR >> 6) for pair in zip(left.tolist(), right.tolist())]
