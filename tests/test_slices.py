@@ -185,6 +185,26 @@ def test_rows_are_compared_on_flat_arrays(limit):
     assert diff.compared(pa.array([], pa.string()), pa.array([], ids), pa.array([], ids), ta, b.tokens, limit).to_pylist() == []
 
 
+@pytest.mark.parametrize("content,flags", [("the", {"single_word": True}), ("the", {}), ("é", {"single_word": True}), ("-", {"single_word": True}), ("aba", {"single_word": True}), ("the", {"single_word": True, "lstrip": True})])
+@pytest.mark.parametrize("model", ["bytes", "letters"])
+def test_one_added_token_is_looked_for_in_bytes(content, flags, model, monkeypatch):
+    rng = random.Random(8)
+    letters = toy_models.letters()
+    spec = ModelSpec(encoder="bpe", vocab=letters.vocab, merges=letters.merges if model == "letters" else (), pretokenizer="gpt2", added=(AddedToken(900, content, **flags),))
+    texts = [None, "", content, content * 3, *("".join(rng.choice([content, content, "a", "ab", "é", "字", "_", "1", "½", " ", ".", "-", "x the ", "́", "👍"]) for _ in range(rng.randint(1, 25))) for _ in range(400))]
+    looked = []
+    monkeypatch.setattr(E, "segments", lambda text, *more, own=E.segments: looked.append(text) or own(text, *more))
+    ids, sizes, bounds, null = E.text_lists(Shared(spec), pa.array(texts))
+    in_bytes = not flags.get("lstrip") and content != "aba"
+    assert bool(looked) != in_bytes
+    parts, encode = E.prepared(spec), E.worker(Shared(spec))
+    for k, t in enumerate(texts):
+        want = [([i], [len(spec.tokens.get(i, b""))]) if i is not None else encode(p.encode()) for i, p in parts(t or "")]
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == [x for a, _ in want for x in a], t
+        assert sizes[bounds[k] : bounds[k + 1]].tolist() == [x for _, b in want for x in b], t
+    assert null.tolist() == [t is None for t in texts]
+
+
 def test_ranks_of_rules_by_slots():
     rules = np.random.default_rng(3).integers(0, 200, (20_000, 2)).tolist()
     first = {tuple(pair): rank for rank, pair in reversed(list(enumerate(rules)))}
