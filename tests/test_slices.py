@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline import toy_models, workers
+from weftline.functions import decode
 from weftline.operators import batch, chunks, cores, diff
 from weftline.operators import encode as E
 from weftline.operators.tokenizer import Tokenizer
@@ -212,3 +213,20 @@ def test_ranks_of_rules_by_slots():
     left, right = np.repeat(np.arange(-1, 201), 202), np.tile(np.arange(-1, 201), 202)
     assert merges.count.max() > 1
     assert merges._ranks(left.astype(np.int32), right.astype(np.int32)).tolist() == [first.get(pair, batch._FAR >> 6) for pair in zip(left.tolist(), right.tolist())]
+
+
+def test_decoded_bytes_stay_where_the_gather_put_them(monkeypatch):
+    """Rows of tokens are joined by their bounds alone, without another copy of their bytes."""
+    spec, gathered = toy_models.letters(), []
+    take = decode.Pool.take
+    monkeypatch.setattr(decode.Pool, "take", lambda self, ids: gathered.append(take(self, ids)) or gathered[-1])
+    lists = [[116, 104, 256], [], None, [101, 32, 195, 169], [300_000], [97, None], [-1], [195], [258]]
+    told = [None if x is None or any(i not in spec.tokens for i in x) else b"".join(spec.tokens[i] for i in x) for x in lists]
+    text = [None if x in (None, b"\xc3") else x.decode() for x in told]
+    for kind in (pa.int32(), pa.int64()):
+        column = pa.array(lists, pa.list_(kind))
+        assert decode.bytes_array(column, spec).to_pylist() == told and decode.text_array(column, spec, frozenset()).to_pylist() == text
+        assert decode.bytes_array(column.slice(3, 2), spec).to_pylist() == told[3:5]
+        assert decode.text_array(column, spec, frozenset({104, 300_000})).to_pylist() == [text[0].replace("h", "", 1), *text[1:4], "", *text[5:]]
+        for form in (lambda x: decode.bytes_array(x, spec), lambda x: decode.text_array(x, spec, frozenset())):
+            assert form(column.slice(3, 1)).buffers()[2].address == gathered[-1][0].buffers()[2].address
